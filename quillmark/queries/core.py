@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from quillmark.queries import lines
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = [lines]
+from quillmark.queries import lines, models, text, topic, vector
+
+_MODULES = [lines, text, vector, topic, models]
+
+
+def flagship(spark: SparkSession, where: str) -> DataFrame:
+    """Tokens, a pruned vocabulary, a few sweeps of the default sampler, and the top words of its topics."""
+    return models.QUERIES["lda_polyaurn"](spark, where)
 
 
 def queries() -> dict:
