@@ -36,9 +36,10 @@ def _lists(m: np.ndarray) -> pa.Array:
 
 
 def usable(vector: str) -> Column:
-    """Vectors without nulls and NaN and not all zero."""
+    """Vectors of finite numbers that are not all zero."""
     v = F.col(vector)
-    return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    wrong = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.isNotNull() & (F.size(v) > 0) & ~wrong & F.exists(v, lambda x: x != 0)
 
 
 class Vectors:
@@ -46,6 +47,9 @@ class Vectors:
 
     def __init__(self, df: DataFrame, row_id: str, vector: str) -> None:
         v = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v")).dropDuplicates(["id"])
+        lengths = v.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+        self.dim = lengths[0].dim if lengths else 0
+        v = v.where(F.size("v") == self.dim)
         hashed = v.select("id", "v", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).alias("h"))
         keys = store(hashed.select("id", "h"), "vector-keys")
         groups = keys.df.groupBy("h").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -238,7 +242,8 @@ def _expand(v: Vectors, edges: DataFrame, k: int, least: float | None) -> DataFr
 def nearest(df: DataFrame, row_id: str = "doc_id", vector: str = "theta", k: int = 5, least: float | None = None) -> DataFrame:
     """id, neighbour, sim, rank: the k most similar other rows of every row, at least ``least`` similar.
 
-    Null and all-zero vectors, and those with a null or NaN, have no neighbours and are none. Equal
+    Null and all-zero vectors, those with a null, NaN or infinity, and those whose length isn't the
+    most frequent one have no neighbours and are none. Equal
     vectors are each other's first neighbours; among equal similarities the smaller id goes first.
     Rows of one id count once. Fewer than k others give fewer rows; an empty table gives none.
     """
@@ -258,15 +263,18 @@ def close_pairs(df: DataFrame, row_id: str = "doc_id", vector: str = "theta", k:
     return n.select(F.least("id", "neighbour").alias("doc_id_a"), F.greatest("id", "neighbour").alias("doc_id_b")).distinct()
 
 
-def search(df: DataFrame, queries: DataFrame, row_id: str = "doc_id", vector: str = "theta", k: int = 5, beam: int = 16, steps: int = 8) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, row_id: str = "doc_id", vector: str = "theta", k: int = 5, beam: int = 16, width: int = 24, steps: int = 10) -> DataFrame:
     """id, neighbour, sim, rank for query rows by greedy search in the graph of all rows.
 
-    A query starts from its windows in the hyperplane orders; in each step the not yet expanded rows
-    of its beam bring their neighbours, and the best ``beam`` stay. It ends when no beam changes. A
-    row with the query's own id is left out. Nulls and zeros as in ``nearest``.
+    A query starts from its windows in the hyperplane orders; in each step the ``width`` best rows of
+    its beam that aren't expanded yet bring their neighbours, and the best ``beam`` stay. It ends
+    when all of every beam is expanded, or after ``steps``. A row with the query's own id is left
+    out. Nulls and zeros as in ``nearest``.
     """
     v = Vectors(df, row_id, vector)
-    q = queries.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v")).dropDuplicates(["id"])
+    q = queries.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v") & (F.size("v") == v.dim)).dropDuplicates(["id"])
+    if not v.count:
+        return df.sparkSession.createDataFrame([], "id long, neighbour long, sim double, rank int")
     q = store(q.mapInArrow(_unit, "id long, vec array<double>"), "queries")
     edges = graph(v).df
     centre = _centre(v.nodes)
@@ -279,12 +287,14 @@ def search(df: DataFrame, queries: DataFrame, row_id: str = "doc_id", vector: st
     links = materialize(links.distinct().withColumn("z", F.row_number().over(w_back)).where(F.col("z") <= 3 * K).drop("z"), "links")
     state = store(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).select("q", "node", "sim", F.lit(False).alias("done")), "beam")
     dot = F.aggregate(F.zip_with("qv", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    few = F.broadcast if q.df.count() <= 20_000 else (lambda t: t)
+    vectors = few(q.df.select(F.col("id").alias("q"), F.col("vec").alias("qv")))
     for _ in range(steps):
-        ask = state.df.where("NOT done").select("q", "node")
+        ask = state.df.where("NOT done").withColumn("w", F.row_number().over(w)).where(F.col("w") <= width).select("q", "node")
         cand = ask.join(links, ask.node == links.src).select("q", F.col("dst").alias("node")).distinct().join(state.df.select("q", "node"), ["q", "node"], "left_anti")
-        scored = cand.join(v.nodes.select(F.col("id").alias("node"), "vec"), "node").join(q.df.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q").select("q", "node", dot.alias("sim"), F.lit(False).alias("done"))
-        merged = state.df.withColumn("done", F.lit(True)).unionAll(scored)
-        nxt = store(merged.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).drop("r"), "beam")
+        scored = cand.join(v.nodes.select(F.col("id").alias("node"), "vec"), "node").join(vectors, "q").select("q", "node", dot.alias("sim"), F.lit(False).alias("done"))
+        old = state.df.join(ask.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "sim", (F.col("done") | F.col("now").isNotNull()).alias("done"))
+        nxt = store(old.unionAll(scored).withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).drop("r"), "beam")
         state.drop()
         state = nxt
         if not state.df.where("NOT done").limit(1).count():
