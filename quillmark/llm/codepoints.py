@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,19 @@ def code_points(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return cps, before[off]
 
 
+def pieces(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of text each, one row at least: arrays stay small however long texts are."""
+    a = to_array(batch.column(column))
+    if not len(a):
+        return
+    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    start = 0
+    while start < len(a):
+        end = max(start + 1, int(np.searchsorted(off, off[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def to_strings(cps: np.ndarray, off: np.ndarray, valid: np.ndarray | None = None) -> pa.LargeStringArray:
     """The inverse of ``code_points``; rows where ``valid`` is false become null."""
     size = 1 + (cps > 0x7F).astype(np.int64) + (cps > 0x7FF) + (cps > 0xFFFF)

@@ -6,8 +6,8 @@ bits. ``TABLES`` permutations of the bits each give a block of ``BLOCK_BITS`` bi
 units that agree in a block and lie within the Hamming radius are candidates, and each candidate
 pair is verified on its words by bit-parallel edit distance.
 
-A pair at the limit of 15 % edits differs in about 14 % of its bits, so one table finds it with a
-chance of about 0.12 and all ``TABLES`` miss it with about 0.006; at 10 % edits with about 0.0002.
+A pair at the limit of 15 % edits differs in up to 18 % of its bits, so one table finds it with a
+chance of about 0.08 and all ``TABLES`` miss it with about 0.01; at 10 % edits with about 0.0001.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import words
-from quillmark.llm.codepoints import Words, mix
+from quillmark.llm.codepoints import Words, mix, pieces
 from quillmark.llm.formatting import exact_key
 from quillmark.operators.skew import digest, salted_join
 from quillmark.operators.storage import materialize, store
 
-BITS, TABLES, BLOCK_BITS, RADIUS, SEED = 256, 40, 14, 72, 20240301
+BITS, TABLES, BLOCK_BITS, RADIUS, SEED = 256, 56, 13, 72, 20240301
 MOST_EDITS = 0.15
 
 
@@ -66,8 +66,8 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scale = (1 << np.arange(BLOCK_BITS)).astype(np.int64)
-    for b in batches:
-        f = fingerprints(b.column(1)) if b.num_rows else np.zeros((0, BITS), bool)
+    for b in (x for y in batches for x in pieces(y)):
+        f = fingerprints(b.column(1))
         code = np.packbits(f, axis=1, bitorder="little").view(np.int64).reshape(len(f), BITS // 64)
         keys = np.concatenate([f[:, p] @ scale + (np.int64(t) << BLOCK_BITS) for t, p in enumerate(_blocks())]).reshape(TABLES, len(f)).T
         cols = [b.column(0), *[pa.array(np.ascontiguousarray(code[:, k])) for k in range(BITS // 64)], pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))]
