@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.codepoints import Words
+from quillmark.llm.codepoints import Words, pieces
 
 #: Words of evaluation text that are sent to the workers at once (about 64 bytes each).
 BLOCK_WORDS = 1_000_000
@@ -77,7 +77,7 @@ def _scan(min_match: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         table = np.zeros(1 << 20, bool)
         table[seed & np.uint64((1 << 20) - 1)] = True
         words_of_item: dict[int, list[str]] = {}
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             docs = Words(batch.column(1))
             pos, g = docs.windows(min_match)
             maybe = np.flatnonzero(table[g & np.uint64((1 << 20) - 1)])
