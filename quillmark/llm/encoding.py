@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.codepoints import category_table, code_points, rows_of, spans, to_strings
+from quillmark.llm.codepoints import category_table, code_points, pieces, rows_of, spans, to_strings
 
 # The legacy encodings UTF-8 is most often mistaken for, in the order they are tried.
 LEGACY = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866")
@@ -326,9 +326,7 @@ def repair(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (x for b in batches for x in pieces(b)):
         damaged, count, names, text = repair(batch.column(1))
         hit = pa.array(damaged)
         lost = np.zeros(len(damaged), bool)
