@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.codepoints import N_CODES, category_table, code_points, rows_of, spans, to_strings, word_table
+from quillmark.llm.codepoints import N_CODES, category_table, code_points, pieces, rows_of, spans, to_strings, word_table
 from quillmark.operators.skew import HOT, digest, semi_join_checked
 from quillmark.operators.storage import materialize
 
@@ -290,8 +290,8 @@ def consistent(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        form = consistent(batch.column(1)) if batch.num_rows else pa.array([], pa.large_string())
+    for batch in (x for b in batches for x in pieces(b)):
+        form = consistent(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), form.cast(pa.string())], names=["doc_id", "stored", "form"])
 
 
