@@ -88,15 +88,14 @@ def alias_tables(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = w.sum(1, keepdims=True)
     p = np.where(total > 0, w / np.where(total > 0, total, 1), 1.0 / k) * k
     cut, alias = np.ones((rows, k)), np.tile(np.arange(k), (rows, 1))
-    for r in range(rows):
-        small = [i for i in range(k) if p[r, i] < 1]
-        large = [i for i in range(k) if p[r, i] >= 1]
-        q = p[r].copy()
-        while small and large:
-            s, g = small.pop(), large.pop()
-            cut[r, s], alias[r, s] = q[s], g
-            q[g] -= 1 - q[s]
-            (small if q[g] < 1 else large).append(g)
+    r, low, high = np.arange(rows), p.copy(), p.copy()  # low and high: what is left, closed cells at +inf and -inf
+    for _ in range(k - 1):  # each step closes the smallest cell of every row and fills it from the largest
+        s, g = low.argmin(1), high.argmax(1)
+        q = np.minimum(low[r, s], 1.0)
+        cut[r, s], alias[r, s] = q, g
+        low[r, g] -= 1 - q
+        high[r, g] = low[r, g]
+        low[r, s], high[r, s] = np.inf, -np.inf
     return cut, alias
 
 

@@ -13,25 +13,22 @@ from quillmark.operators.topics import top_words, type_topic_counts
 from quillmark.queries import text as TQ
 from quillmark.queries.base import table
 
-TOPICS, KEEP, SWEEPS = 10, 1000, 5
+TOPICS = 10
 
 
 def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, types) over the 1000 best terms by tf-idf, and their numbering."""
+    """(doc_id, types) over the whole vocabulary, and its numbering in order of first appearance."""
     tokens = TQ._tokens(s, d)
-    best = vocab.keep_top(TQ._weighted(s, d).join(vocab.type_ids(tokens), "term"), KEEP).select("term", "type_id")
-    from pyspark.sql.window import Window
-
-    ids = materialize(best.select((F.row_number().over(Window.orderBy("type_id")) - 1).cast("int").alias("type_id"), "term"), "vocabulary")
+    ids = materialize(vocab.type_ids(tokens), "vocabulary")
     arrays = vocab.corpus_arrays(tokens, ids)
     docs = TQ._docs(s, d).select("doc_id").join(arrays, "doc_id", "left").select("doc_id", F.coalesce("types", F.array().cast("array<int>")).alias("types"))
     return materialize(docs, "corpus"), ids
 
 
-def _model(s: SparkSession, d: str, scheme: str, sweeps: int = SWEEPS, **kw) -> tuple[lda.TopicModel, DataFrame, DataFrame]:
+def _model(s: SparkSession, d: str, scheme: str, **kw) -> tuple[lda.TopicModel, DataFrame, DataFrame]:
     docs, ids = corpus(s, d)
     n = ids.count()
-    m = lda.TopicModel(docs, n, lda.Settings(topics=TOPICS, alpha=0.1, beta=0.01, scheme=scheme, iterations=sweeps), **kw)
+    m = lda.TopicModel(docs, n, lda.Settings(topics=TOPICS, alpha=0.1, beta=0.01, scheme=scheme), **kw)
     return m.sample(), docs, ids
 
 
@@ -51,13 +48,13 @@ def topic_prior_model(s: SparkSession, d: str) -> DataFrame:
     priors = np.ones((TOPICS, n))
     priors[0, ::2] = 0
     allowed = docs.where("doc_id % 2 = 0").select("doc_id", F.array(*[F.lit(k) for k in range(TOPICS) if k != 1]).alias("allowed"))
-    m = lda.TopicModel(docs, n, lda.Settings(topics=TOPICS, alpha=0.1, scheme="polyaurn_priors", iterations=3), topic_priors=priors, doc_priors=allowed).sample()
+    m = lda.TopicModel(docs, n, lda.Settings(topics=TOPICS, alpha=0.1, scheme="polyaurn_priors"), topic_priors=priors, doc_priors=allowed).sample()
     return m.assign().groupBy("topic", (F.col("doc_id") % 2).alias("odd")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def inferred_theta(s: SparkSession, d: str) -> DataFrame:
     m, docs, _ = _model(s, d, "polyaurn")
-    return lda.infer(docs, m.phi_mean(), m.alpha, 10).select("doc_id", F.posexplode("theta").alias("topic", "theta"))
+    return lda.infer(docs, m.phi_mean(), m.alpha).select("doc_id", F.posexplode("theta").alias("topic", "theta"))
 
 
 def model_theta(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +64,7 @@ def model_theta(s: SparkSession, d: str) -> DataFrame:
 
 def held_out(s: SparkSession, d: str) -> DataFrame:
     m, docs, _ = _model(s, d, "polyaurn")
-    return lda.held_out(docs, m.phi_mean(), m.alpha, 20)
+    return lda.held_out(docs, m.phi_mean(), m.alpha)
 
 
 def phi_table(s: SparkSession, d: str) -> DataFrame:

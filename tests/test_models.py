@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.models import draws, kernels, lda, scan
+from quillmark.queries import models
+from quillmark.queries import text as TQ
 
 K, V = 4, 40
 
@@ -149,3 +151,28 @@ def test_random_scan_keeps_the_mass_of_other_types(planted):
     m.sample(1)
     assert np.allclose(m.phi[:, 5:], before[:, 5:])
     assert np.allclose(m.phi.sum(1), 1)
+
+
+def test_alias_tables_are_exact():
+    w = np.random.default_rng(0).gamma(0.1, size=(300, 7))
+    w[0], w[1] = 0, [1, 0, 0, 0, 0, 0, 0]
+    cut, alias = draws.alias_tables(w)
+    got = cut.copy()
+    np.add.at(got, (np.arange(300)[:, None], alias), 1 - cut)
+    want = np.where(w.sum(1, keepdims=True) > 0, w / np.maximum(w.sum(1, keepdims=True), 1e-300), 1 / 7)
+    assert np.allclose(got / 7, want)
+
+
+def test_sampler_queries_keep_every_token(spark, small):
+    docs, ids = models.corpus(spark, small)
+    tokens = TQ._tokens(spark, small)
+    assert ids.count() == tokens.select("term").distinct().count() > 1000
+    assert docs.agg(F.sum(F.size("types"))).first()[0] == tokens.count()
+
+
+def test_sampler_queries_use_the_default_sweeps(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lda.TopicModel, "sample", lambda m: seen.append(m.s.iterations) or m)
+    models.QUERIES["lda_polyaurn"](spark, small)
+    models.QUERIES["lda_priors"](spark, small)
+    assert seen == [lda.Settings().iterations] * 2
