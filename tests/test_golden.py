@@ -196,3 +196,12 @@ def test_skewed_joins_keep_all_rows(spark):
     assert skew.salted_join(rows, right, "k", "id", chunk=100).count() == 2999
     keys = storage.materialize(groups.select("k", "n"))
     assert skew.semi_join_checked(rows, keys, "k", "id").count() == skew.semi_join_checked(rows, keys, "k", "id", most=0).count() == 2999
+
+
+def test_type_topic_matrix_has_all_counts(spark, small):  # L29
+    from quillmark.queries import topic as Q
+
+    m = Q.QUERIES["type_topic_matrix"](spark, small)
+    counts = Q.QUERIES["type_topic_counts"](spark, small).agg(F.sum("n")).first()[0]
+    assert m.columns == ["type_id"] + [f"t{i}" for i in range(Q.TOPICS)]
+    assert m.agg(F.sum(sum(F.col(c) for c in m.columns[1:]))).first()[0] == counts
