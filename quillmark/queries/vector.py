@@ -56,6 +56,13 @@ def theta_nearest(s: SparkSession, d: str) -> DataFrame:
     return search.nearest_neighbour(t.where("id % 50 = 0"), t, "jensen_shannon").select("q", F.round("d", 6).alias("d"))
 
 
+def theta_nearest_kl(s: SparkSession, d: str) -> DataFrame:
+    """Q, nearest, d: the closest document by KL of topic distributions; d is rounded first, so that ties go to the smaller id."""
+    t = table(s, d, "doc_topics").where("theta IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("theta").alias("vec")).where(F.exists("vec", lambda x: x > 0))
+    r = search.distance_to_all(t.where("id % 50 = 0"), t, "kl").where("q <> id").withColumn("d", F.round("d", 9) + 0.0)
+    return search.top_k(r, 1).select("q", F.col("id").alias("nearest"), "d")
+
+
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tokens = TQ._tokens(s, d)
     postings = vocab.postings(tokens)
@@ -133,7 +140,7 @@ qw AS (SELECT DISTINCT q, term, pc FROM qt JOIN idf USING (term)),
 ql AS (SELECT q, r.doc_id AS id, round(-sum(ln(r * coalesce(tf, 0) / greatest(n_tokens, 1) + (1 - r) * pc)), 6) AS d FROM qw CROSS JOIN r LEFT JOIN post ON post.term = qw.term AND post.doc_id = r.doc_id GROUP BY 1, 2)"""
 
 QUERIES = {f"dist_{n}": _distance(n) for n in D.DISTANCES} | {
-    "moments": moments, "intervals": intervals, "nearest_neighbour": nearest_neighbour, "theta_nearest": theta_nearest, "bm25_topk": bm25_topk, "bm25_scores": bm25_scores, "bm25_variant": bm25_variant,
+    "moments": moments, "intervals": intervals, "nearest_neighbour": nearest_neighbour, "theta_nearest": theta_nearest, "theta_nearest_kl": theta_nearest_kl, "bm25_topk": bm25_topk, "bm25_scores": bm25_scores, "bm25_variant": bm25_variant,
     "qlik_topk": qlik_topk, "qlik_scores": qlik_scores, "ml_estimates": ml_estimates,
 }
 
@@ -142,6 +149,7 @@ SQL = {f"dist_{n}": (_PROB if n in _PROBABILITY else _PLAIN) + _PAIR + f"SELECT
     "intervals": _E + "o AS (SELECT 1) SELECT id, len([e for e in v if (e BETWEEN -2 AND -1) OR (e BETWEEN 1 AND 2)])::INT AS inside FROM v",
     "nearest_neighbour": _PLAIN + _PAIR + f", di AS (SELECT q, id, {_EUC} AS d FROM mo WHERE q <> id) SELECT q, arg_min(id, {{'d': d, 'i': id}}) AS nearest, round(min(d), 6) AS d FROM di GROUP BY 1",
     "theta_nearest": "WITH p AS (SELECT doc_id AS id, theta AS v FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0), " + _PAIR + f", di AS (SELECT q, {_FORMULAS['jensen_shannon']} AS d FROM mo WHERE q <> id) SELECT q, round(min(d), 6) AS d FROM di GROUP BY 1",
+    "theta_nearest_kl": "WITH p AS (SELECT doc_id AS id, theta AS v FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0), " + _PAIR + ", di AS (SELECT q, id, round(list_sum([CASE WHEN a[i] = 0 THEN 0 WHEN b[i] = 0 THEN 'inf'::DOUBLE ELSE a[i] * ln(a[i] / b[i]) END for i in range(1, len(a) + 1)]) / ln(2), 9) + 0.0 AS d FROM mo WHERE q <> id) SELECT q, arg_min(id, {'d': d, 'i': id}) AS nearest, min(d) AS d FROM di GROUP BY 1",
     "bm25_scores": _BM1 + " SELECT * FROM bm",
     "bm25_topk": _BM1 + " SELECT * FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank, score FROM bm) WHERE rank <= 10",
     "bm25_variant": _BM2 + " SELECT * FROM bm",

@@ -205,3 +205,22 @@ def test_type_topic_matrix_has_all_counts(spark, small):  # L29
     counts = Q.QUERIES["type_topic_counts"](spark, small).agg(F.sum("n")).first()[0]
     assert m.columns == ["type_id"] + [f"t{i}" for i in range(Q.TOPICS)]
     assert m.agg(F.sum(sum(F.col(c) for c in m.columns[1:]))).first()[0] == counts
+
+
+def test_theta_nearest_kl_names_the_document(spark, small):  # D24, J6
+    import numpy as np
+
+    from quillmark.queries import vector as Q
+    from quillmark.queries.base import table
+
+    rows = [r for r in table(spark, small, "doc_topics").select("doc_id", "theta").collect() if r.theta and max(r.theta) > 0]
+    theta = {r.doc_id: np.array(r.theta, float) for r in rows}
+    got = {r.q: (r.nearest, r.d) for r in Q.QUERIES["theta_nearest_kl"](spark, small).collect()}
+    assert set(got) == {q for q in theta if q % 50 == 0}
+    for q, (nearest, d) in got.items():
+        a = theta[q]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            kl = {i: np.where(a > 0, a * np.log2(a / b), 0).sum() for i, b in theta.items() if i != q}
+        assert d == pytest.approx(min(kl.values()), abs=2e-9)
+        assert nearest != q
+        assert kl[nearest] == pytest.approx(d, abs=2e-9)
