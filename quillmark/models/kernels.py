@@ -118,9 +118,12 @@ def collapsed_sweep(b: Batch, word_topic: np.ndarray, totals: np.ndarray, alpha:
         np.add.at(totals, z, 1)
 
 
-def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha: np.ndarray, seed: int, iteration: int) -> None:
+def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, shared: tuple[np.ndarray, np.ndarray, float] | None = None) -> None:
     """Metropolis-Hastings with a word proposal (a table of ``word_proposal``) and then a document proposal.
 
+    ``shared`` (word_topic, totals, beta) makes it collapsed: the target takes the place of ``phi`` from these
+    counts without the token itself, and each move is added to them; ``word_proposal`` must be a copy.
+
     Unlike a shortcut that holds for symmetric alpha only (Q24), both topics use their own alpha.
     """
     used = np.unique(b.types[b.z >= 0])
@@ -133,7 +136,14 @@ def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha:
         n = b.active(t)
         r, w, z = np.arange(n), b.types[:n, t], b.z[:n, t].copy()
         start = z.copy()
-        target = lambda k: (b.counts[r, k] - (k == start) + alpha[k]) * phi[w, k]  # noqa: E731, B023
+        if shared is None:
+            word = lambda k: phi[w, k]  # noqa: E731, B023
+        else:
+            own, totals, beta = shared
+            np.add.at(own, (w, start), -1)
+            np.add.at(totals, start, -1)
+            word = lambda k: (np.maximum(own[w, k], 0) + beta) / (np.maximum(totals[k], 0) + len(own) * beta)  # noqa: E731, B023
+        target = lambda k: (b.counts[r, k] - (k == start) + alpha[k]) * word(k)  # noqa: E731, B023
         u = [uniforms(seed, iteration, b.ids[:n], t, i) for i in range(5)]
         new = alias_draw(cut[place[w]], alias[place[w]], u[0])
         ratio = target(new) * word_proposal[w, z] / np.maximum(target(z) * word_proposal[w, new], 1e-300)
@@ -149,6 +159,9 @@ def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha:
         b.counts[r, start] -= 1
         b.counts[r, z] += 1
         b.z[:n, t] = z
+        if shared is not None:
+            np.add.at(own, (w, z), 1)
+            np.add.at(totals, z, 1)
 
 
 def left_to_right(types: np.ndarray, phi: np.ndarray, alpha: np.ndarray, doc_id: int, seed: int, particles: int = 100) -> float:

@@ -158,7 +158,7 @@ class TopicModel:
 
     # sweeps -------------------------------------------------------------------------------------
     def _sweep(self) -> None:
-        spark, k, seed, it, kernel, beta, v = self.spark, self.s.topics, self.s.seed, self.iteration, self.kernel, self.beta, self.n_types
+        spark, k, seed, it, kernel, beta = self.spark, self.s.topics, self.s.seed, self.iteration, self.kernel, self.beta
         alpha = self.alpha if self.psi is None else self.alpha.sum() * self.psi
         shared = spark.sparkContext.broadcast((np.ascontiguousarray(self.phi.T), self.n.T.copy() if kernel in ("collapsed", "serial", "light_counts", "light_types") else None))
 
@@ -174,8 +174,7 @@ class TopicModel:
                 if kernel in ("collapsed", "serial"):
                     kernels.collapsed_sweep(x, own, totals, alpha, beta, seed, it)
                 elif kernel == "light_counts":
-                    p = (own + beta) / (totals + v * beta)
-                    kernels.proposal_sweep(x, p, own + beta, alpha, seed, it)
+                    kernels.proposal_sweep(x, phi, own + beta, alpha, seed, it, (own, totals, beta))
                 elif kernel == "light_phi":
                     kernels.proposal_sweep(x, phi, phi + 1e-12, alpha, seed, it)
                 elif kernel == "light_types":

@@ -176,3 +176,18 @@ def test_sampler_queries_use_the_default_sweeps(spark, small, monkeypatch):
     models.QUERIES["lda_polyaurn"](spark, small)
     models.QUERIES["lda_priors"](spark, small)
     assert seen == [lda.Settings().iterations] * 2
+
+
+def test_collapsed_proposals_leave_the_token_out_and_share_moves():  # L9
+    n = 600
+    z = [np.array([i % 2]) for i in range(n)]
+    b = kernels.Batch(np.arange(n), [np.array([i]) for i in range(n)], z, 2)
+    own = np.zeros((n, 2))
+    own[np.arange(n), np.arange(n) % 2] = 1
+    totals = own.sum(0)
+    beta = 0.01
+    kernels.proposal_sweep(b, own, own + beta, np.ones(2), 3, 1, (own, totals, beta))
+    now = np.array([x[0] for x in b.lists()])
+    assert (own.argmax(1) == now).all()
+    assert (totals == np.bincount(now, minlength=2)).all()
+    assert np.mean(now != np.arange(n) % 2) > 0.2  # a word seen once isn't held by its own count
