@@ -18,7 +18,14 @@ from quillmark.plans.config import Config, from_arguments
 from quillmark.sources import loaders, sinks
 
 
+#: The schemes under which every document, topic and type is visited; programs run no other.
+FULL_SCAN = {"batch_building_scheme": "even_split", "topic_batch_building_scheme": "even_split", "topic_index_building_scheme": "all"}
+
+
 def settings(c: Config) -> lda.Settings:
+    for key, full in FULL_SCAN.items():
+        if getattr(c, key) != full:
+            raise NotImplementedError(f"{key} = {getattr(c, key)}: programs run full scans only ({full})")
     return lda.Settings(
         topics=c.topics, alpha=c.alpha, beta=c.beta, iterations=c.iterations, scheme=c.scheme, seed=c.run_seed(), burn_in=c.phi_mean_burnin / 100, thin=max(c.phi_mean_thin, 1),
         hyper_interval=max(c.hyperparam_optim_interval, 0), symmetric_alpha=c.symmetric_alpha, selection_prior=c.variable_selection_prior, hdp_gamma=c.hdp_gamma, report_interval=c.topic_interval,

@@ -168,3 +168,10 @@ def test_streams(spark, tmp_path):
 def test_vocabulary_ids_follow_first_appearance(spark, jokes):
     ids = {r.term: r.type_id for r in vocab.type_ids(vocab.explode_tokens(jokes)).collect()}
     assert (ids["a"], ids["freudian"], ids["slip"]) == (0, 1, 2)
+
+
+@pytest.mark.parametrize("key", ["batch_building_scheme", "topic_batch_building_scheme", "topic_index_building_scheme"])
+def test_partial_scans_are_refused(key):
+    assert programs.settings(config.Config()).topics == 10
+    with pytest.raises(NotImplementedError, match=key):
+        programs.settings(config.Config(**{key: "percentage"}))
