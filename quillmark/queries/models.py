@@ -77,7 +77,7 @@ def phi_table(s: SparkSession, d: str) -> DataFrame:
 
 
 def lda_search(s: SparkSession, d: str) -> DataFrame:
-    """The ten closest documents of each evaluation text by LDA query likelihood."""
+    """The ten closest documents of each evaluation text by LDA query likelihood."""
     m, docs, ids = _model(s, d, "polyaurn")
     p = m.phi_mean()
     k, v = np.nonzero(p)
