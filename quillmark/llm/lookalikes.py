@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.codepoints import N_CODES, category_table, code_points, pieces, rows_of, spans, to_strings, word_table
-from quillmark.operators.skew import HOT, digest, semi_join_checked
+from quillmark.operators.skew import digest, salted_join, semi_join_checked
 from quillmark.operators.storage import materialize
 
 # Characters without width.
@@ -308,14 +308,13 @@ def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") ->
     """doc_id_a < doc_id_b: rows with a letter or digit that differ as stored and agree in the consistent form.
 
     Rows are first reduced to (form, spelling) classes. Only forms with two spellings or more go on;
-    of these, a row meets the rows of its form's other spellings, in chunks where a form has many rows.
+    of these, a row meets the rows of its form's other spellings, in chunks of every form with many rows.
     """
     base = consistent_form(docs, doc_id, data).where(F.col("stored").rlike(r"[\p{L}\p{N}]"))
     keyed = materialize(base.select("doc_id", digest(F.col("form")).alias("form"), digest(F.col("stored")).alias("spelling")), "forms")
     spellings = keyed.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("c"))
     forms = materialize(spellings.groupBy("form").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "alike")
     rows = materialize(semi_join_checked(keyed, forms, "form", "doc_id"), "members")
-    hot = F.broadcast(forms.where("n > 1000").orderBy(F.desc("n")).limit(HOT).select("form", F.ceil(F.col("n") / 1000).cast("long").alias("s")))
-    a = rows.join(hot, "form", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("s")), F.lit(0).cast("long"))).select("form", "salt", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("sa"))
-    b = rows.join(hot, "form", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("s") - 1, F.lit(0).cast("long"))))).select("form", "salt", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("sb"))
-    return a.join(b, ["form", "salt"]).where("doc_id_a < doc_id_b AND sa <> sb").select("doc_id_a", "doc_id_b")
+    a = rows.select("form", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("sa"))
+    b = rows.select("form", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("sb"))
+    return salted_join(a, b, "form", "doc_id_a", chunk=1000).where("doc_id_a < doc_id_b AND sa <> sb").select("doc_id_a", "doc_id_b")
