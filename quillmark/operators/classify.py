@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators.order import in_order
+
 
 def centroids(zbar: DataFrame, labels: DataFrame, alpha: float) -> DataFrame:
     """Label, topic, p: (sum of the class's z-bar + alpha) / its documents, then made to sum to one.
@@ -80,7 +82,7 @@ def by_corpus(models: dict[str, Callable[[DataFrame], DataFrame]], docs: DataFra
     for name, score in models.items():
         part = score(docs).withColumn("label", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.max_by("label", F.struct("score")).alias("predicted"), F.max("score").alias("score"))
+    return out.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "label"))["label"].alias("predicted"), F.max("score").alias("score"))
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -102,7 +104,11 @@ def perplexity_split(tokens: DataFrame, test_docs: DataFrame) -> DataFrame:
 
 def even_batches(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """B1: doc_id, batch (from 1): contiguous batches of nearly equal size in id order."""
-    return docs.select(key, F.ntile(n).over(Window.orderBy(key)).alias("batch"))
+    x = in_order(docs.select(key), key, total="size")
+    small, more = F.floor(F.col("size") / n), F.col("size") % n  # the first batches have one row more
+    long = more * (small + 1)
+    batch = F.when(F.col("index") < long, F.floor(F.col("index") / (small + 1))).otherwise(more + F.floor((F.col("index") - long) / F.greatest(small, F.lit(1))))
+    return x.select(key, (batch + 1).cast("int").alias("batch"))
 
 
 def percentage_batch(docs: DataFrame, share: float, seed: int, key: str = "doc_id") -> DataFrame:
@@ -122,5 +128,4 @@ def fixed_batch(docs: DataFrame, fractions: list[float], step: int, key: str = "
     n = docs.count()
     start = 1 + sum(int(fractions[i % len(fractions)] * n) for i in range(step))
     size = int(fractions[step % len(fractions)] * n)
-    i = F.row_number().over(Window.orderBy(key)) - 1
-    return docs.select(key, i.alias("_i")).where(F.pmod(F.col("_i") - start, F.lit(max(n, 1))) < size).select(key)
+    return in_order(docs.select(key), key).where(F.pmod(F.col("index") - start, F.lit(max(n, 1))) < size).select(key)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.distances import lgamma
+from quillmark.operators.order import in_order
 
 
 def current_assignment(delivered: DataFrame) -> DataFrame:
@@ -152,16 +153,14 @@ def doc_density(dtc: DataFrame, k: int) -> DataFrame:
 def frequent_types(ttc: DataFrame, share: float) -> DataFrame:
     """The ceil(share * V) most frequent types; ties by type id."""
     n = ttc.groupBy("type_id").agg(F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("n"), "type_id")
-    size = Window.partitionBy()
-    return n.select("type_id", "n", F.row_number().over(w).alias("rank"), F.ceil(F.count(F.lit(1)).over(size) * F.lit(share)).alias("last")).where("rank <= last").select("type_id", "n", "rank")
+    x = in_order(n, F.desc("n"), "type_id", total="size").withColumn("rank", (F.col("index") + 1).cast("int"))
+    return x.where(F.col("rank") <= F.ceil(F.col("size") * F.lit(share))).select("type_id", "n", "rank")
 
 
 def systematic_types(ttc: DataFrame, step: int, offset: int) -> DataFrame:
     """Types hit by a walk of ``step`` tokens from ``offset`` (1 .. step) over the types in id order."""
     n = ttc.groupBy("type_id").agg(F.sum("n").alias("n"))
-    c = F.sum("n").over(Window.orderBy("type_id").rowsBetween(Window.unboundedPreceding, 0))
-    d = n.withColumn("cum", c)
+    d = in_order(n, "type_id", running={"n": "cum"})
     hit = F.floor((F.col("cum") - offset) / step) - F.floor((F.col("cum") - F.col("n") - offset) / step)
     return d.where(hit >= 1).select("type_id", "n")
 

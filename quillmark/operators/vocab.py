@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import text as T
+from quillmark.operators.order import in_order
 
 
 def explode_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=T.tokens) -> DataFrame:
@@ -42,15 +43,15 @@ def tfidf(stats: DataFrame, n_docs: int | Column) -> DataFrame:
 def type_ids(tokens: DataFrame) -> DataFrame:
     """type_id, term in order of first appearance (smallest doc_id, then position).
 
-    The numbering needs one global order, over the vocabulary only.
+    The vocabulary is numbered by range partitions, so its size is not bounded by one task.
     """
     first = tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    return first.select((F.row_number().over(Window.orderBy("f.doc_id", "f.pos")) - 1).cast("int").alias("type_id"), "term")
+    return in_order(first, "f.doc_id", "f.pos").select(F.col("index").cast("int").alias("type_id"), "term")
 
 
 def rank_by_tfidf(weighted: DataFrame, ids: DataFrame) -> DataFrame:
     """V4: rank from 1 by descending tf-idf, ties by descending type id. V6 is a filter on ``term``."""
-    return weighted.join(ids, "term").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tfidf"), F.desc("type_id"))))
+    return in_order(weighted.join(ids, "term"), F.desc("tfidf"), F.desc("type_id")).withColumn("rank", (F.col("index") + 1).cast("int")).drop("index")
 
 
 def keep_top(ranked: DataFrame, n: int) -> DataFrame:
@@ -92,11 +93,9 @@ def corpus_totals(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def cumulative_mass(stats: DataFrame, ids: DataFrame) -> DataFrame:
     """Term, type_id, tf, rank, mass: types by falling frequency (ties by type id) and the share of tokens so far."""
-    w = Window.orderBy(F.desc("tf"), "type_id")
-    whole = Window.partitionBy()
-    return stats.join(ids, "term").select(
-        "term", "type_id", "tf", F.row_number().over(w).alias("rank"), (F.sum("tf").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("tf").over(whole)).alias("mass")
-    )
+    numbered = in_order(stats.join(ids, "term").select("term", "type_id", "tf"), F.desc("tf"), "type_id", running={"tf": "so_far"})
+    whole = stats.agg(F.sum("tf").alias("whole"))
+    return numbered.join(F.broadcast(whole), F.lit(True)).select("term", "type_id", "tf", (F.col("index") + 1).cast("int").alias("rank"), (F.col("so_far") / F.col("whole")).alias("mass"))
 
 
 def rare_sweep(stats: DataFrame, thresholds: tuple[int, ...] = (0, 10, 100, 200, 500, 1000, 2000)) -> DataFrame:
@@ -106,8 +105,15 @@ def rare_sweep(stats: DataFrame, thresholds: tuple[int, ...] = (0, 10, 100, 200,
     return stats.agg(*sums).select(F.explode(row).alias("x")).select("x.*")
 
 
+def adjacent_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=T.tokens) -> DataFrame:
+    """V13 from texts: w1, w2, n; pairs are made inside the token array, so only pair counts are shuffled."""
+    t = docs.where(F.col(text).isNotNull()).select(tokenizer(text).alias("t"))
+    pairs = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("w1"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w2"))
+    return t.select(F.explode(pairs).alias("p")).groupBy(F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cooccurrence(tokens: DataFrame) -> DataFrame:
-    """w1, w2, n: how often w2 directly follows w1 in a document."""
+    """V13 from a token table: w1, w2, n: how often w2 directly follows w1 in a document."""
     after = F.lead("term").over(Window.partitionBy("doc_id").orderBy("pos"))
     return tokens.select(F.col("term").alias("w1"), after.alias("w2")).where("w2 IS NOT NULL").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 

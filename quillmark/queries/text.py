@@ -129,15 +129,15 @@ def rare_sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 def cooc_adjacent(s: SparkSession, d: str) -> DataFrame:
-    return vocab.cooccurrence(_tokens(s, d))
+    return vocab.adjacent_pairs(_docs(s, d))
 
 
 def cooc_symmetric(s: SparkSession, d: str) -> DataFrame:
-    return vocab.symmetric_cooccurrence(vocab.cooccurrence(_tokens(s, d)))
+    return vocab.symmetric_cooccurrence(vocab.adjacent_pairs(_docs(s, d)))
 
 
 def cooc_norm(s: SparkSession, d: str) -> DataFrame:
-    return vocab.normalised_cooccurrence(vocab.cooccurrence(_tokens(s, d)), _stats(s, d)).withColumn("score", F.round("score", 9))
+    return vocab.normalised_cooccurrence(vocab.adjacent_pairs(_docs(s, d)), _stats(s, d)).withColumn("score", F.round("score", 9))
 
 
 def common_words(s: SparkSession, d: str) -> DataFrame:

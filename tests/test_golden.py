@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import distances as D
 from quillmark.functions import text as T
-from quillmark.operators import classify, diagnostics, search, skew, storage, topics, vectors, vocab
+from quillmark.operators import classify, diagnostics, order, search, skew, storage, topics, vectors, vocab
 
 
 def one(spark, c):
@@ -224,3 +224,24 @@ def test_theta_nearest_kl_names_the_document(spark, small):  # D24, J6
         assert d == pytest.approx(min(kl.values()), abs=2e-9)
         assert nearest != q
         assert kl[nearest] == pytest.approx(d, abs=2e-9)
+
+
+def test_every_hot_key_is_split(spark):
+    """600 keys above the chunk: all are salted, by broadcast, and by broadcast and shuffle where the split table is large."""
+    rows = spark.range(600 * 30 + 50).select("id", F.when(F.col("id") < 600 * 30, F.col("id") % 600).otherwise(F.lit(None)).alias("k"))
+    right = spark.range(700).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for most in (1000, 10):
+        got = skew.salted_join(rows, right, "k", "id", chunk=10, most=most)
+        assert got.count() == 600 * 30
+        assert got.where("v <> 2 * k").count() == 0
+        groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+        met = skew.attach_group(rows, groups, "k", "id", chunk=10, most=most)
+        assert met.count() == 600 * 30
+        assert met.where("low <> k OR n <> 30").count() == 0
+
+
+def test_rows_in_order(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x"), F.lit(2).alias("y"))
+    got = order.in_order(rows.repartition(5), F.desc("x"), total="all", running={"y": "sum"}).collect()
+    assert sorted((r["index"], r.x, r["all"], r["sum"]) for r in got) == [(i, 999 - i, 1000, 2 * i + 2) for i in range(1000)]
+    assert order.in_order(rows.limit(0), "x").count() == 0
