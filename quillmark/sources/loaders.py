@@ -1,15 +1,14 @@
 """Sources (S1-S14): files in several layouts as ``(doc_id, name, label, text)``.
 
-``doc_id`` numbers the lines of all files in order of (file, position) where the source has an order
-of its own; it is assigned by a sort of file names and per-file positions, never by arrival.
+``doc_id`` numbers the documents in order of (file path, place in the file), blank lines left out; it
+is assigned by a range-partitioned sort of paths and places, never by arrival or by content.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import vocab
+from quillmark.operators.order import in_order
 
 #: name, label and data of a line; a line without a tab is label only (Q28).
 LINE = r"^(\S*)[\s,]*([^\t]+)[\s,]*(.*)$"
@@ -29,36 +29,71 @@ def parse_line(line: Column | str) -> list[Column]:
     return [F.regexp_extract(c, LINE, i).alias(n) for i, n in ((1, "name"), (2, "label"), (3, "text"))]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Name, label, text of the lines of plain or gzip files (by suffix); blank lines are skipped.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    A ``.zip`` archive goes to ``read_zip``.
-    """
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(fs_path) and fs.getFileStatus(fs_path).isDirectory())
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block, place: the lines of plain or gzip files; (file, block, place) is their order, splits of one file included."""
+    m = F.col("_metadata")
+    return spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """index, value: the lines that aren't blank, numbered from 0 in order of file and place."""
+    lines = _zip_lines(spark, path) if path.endswith(".zip") else placed_lines(spark, path)
+    return in_order(lines.where(F.trim("value") != ""), "file", "block", "place").select("index", "value")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Name, label, text of the lines of plain, gzip or zip files (by suffix); blank lines are skipped."""
     if path.endswith(".zip"):
         return read_zip(spark, path)
     return spark.read.text(path).where(F.trim("value") != "").select(*parse_line("value"))
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, name, label, text; doc_id is the number of the line among the lines that aren't blank."""
+    return numbered_lines(spark, path).select(F.col("index").alias("doc_id"), *parse_line("value"))
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for content in pdf["content"]:
+        for path, content in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in sorted(z.namelist()):
+                for entry, name in enumerate(sorted(z.namelist())):
                     with z.open(name) as f:
                         held: list[str] = []
+                        done = 0
                         for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
                             held.append(line.rstrip("\r\n"))
                             if len(held) == 10_000:
-                                yield pd.DataFrame({"value": held})
+                                yield _lines(held, path, entry, done)
+                                done += len(held)
                                 held = []
                         if held:
-                            yield pd.DataFrame({"value": held})
+                            yield _lines(held, path, entry, done)
+
+
+def _lines(held: list[str], path: str, entry: int, done: int) -> pd.DataFrame:
+    return pd.DataFrame({"value": held, "file": path, "block": entry, "place": np.arange(done, done + len(held))})
+
+
+def _zip_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unzip, "value string, file string, block long, place long")
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """The lines of zip archives; one archive is one task, as the format allows no splitting."""
-    got = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzip, "value string")
-    return got.where(F.trim("value") != "").select(*parse_line("value"))
+    return _zip_lines(spark, path).where(F.trim("value") != "").select(*parse_line("value"))
 
 
 def read_directory(spark: SparkSession, path: str, pattern: str = r".*\.txt$") -> DataFrame:
@@ -74,15 +109,13 @@ def from_strings(spark: SparkSession, texts: list[str], labels: list[str] | None
 
 
 def number_documents(docs: DataFrame, *order: str) -> DataFrame:
-    """doc_id from 0 in the stated order, by one global sort of the keys."""
-    from pyspark.sql.window import Window
-
-    return docs.withColumn("doc_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """doc_id from 0 in the stated order, by range partitions."""
+    return in_order(docs, *order, index="doc_id")
 
 
 def read_stoplist(spark: SparkSession, path: str | None) -> DataFrame:
     """Word, one for each line; a missing file is an empty list."""
-    if not path or (path.startswith("/") and not Path(path).exists()):
+    if not path or not exists(spark, path):
         return spark.createDataFrame([], "word string")
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
@@ -117,11 +150,16 @@ def with_vocabulary(docs: DataFrame, ids: DataFrame, **kw) -> DataFrame:
     return vocab.corpus_arrays(tokenise(docs, **kw), ids)
 
 
+def load_documents(spark: SparkSession, path: str, file_regex: str = r".*\.txt$") -> DataFrame:
+    """doc_id, name, label, text of a file, archive or directory tree; files of a tree are numbered by path."""
+    if is_directory(spark, path):
+        return number_documents(read_directory(spark, path, file_regex), "name")
+    return read_documents(spark, path)
+
+
 def load_dataset(spark: SparkSession, path: str, settings, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Reads a file, archive or directory as the settings (``quillmark.plans.config``) ask for."""
-    is_dir = Path(path.removeprefix("file://")).is_dir()
-    docs = read_directory(spark, path, settings.file_regex) if is_dir else read_lines(spark, path)
-    docs = number_documents(docs, "name", "label", "text")
+    docs = load_documents(spark, path, settings.file_regex)
     kw = {"raw": settings.no_preprocess, "keep_numbers": settings.keep_numbers, "keep_connectors": settings.keep_connecting_punctuation, "longest": settings.max_doc_buf_size, "stoplist": read_stoplist(spark, settings.stoplist)}
     if ids is not None:
         return with_vocabulary(docs, ids, **kw), ids
@@ -131,8 +169,8 @@ def load_dataset(spark: SparkSession, path: str, settings, ids: DataFrame | None
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Row, col, value of a text matrix; row numbers follow the lines of one file."""
-    lines = spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
+    """Row, col, value of a text matrix; rows are numbered from 0 in order of file and line."""
+    lines = numbered_lines(spark, path).withColumnRenamed("index", "row")
     return lines.select("row", F.posexplode(F.split("value", rf"\s*{sep}\s*")).alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("value"))
 
 
@@ -150,17 +188,15 @@ def read_binary_matrix(spark: SparkSession, path: str, rows: int, cols: int, kin
 
 
 def read_indicators(spark: SparkSession, path: str) -> DataFrame:
-    """Doc, pos, topic of a file with one comma-separated line for each document."""
-    lines = spark.read.text(path).withColumn("doc", F.monotonically_increasing_id()).where("trim(value) <> ''")
+    """Doc, pos, topic of a file with one comma-separated line for each document, numbered from 0; an empty line is a document without tokens."""
+    lines = in_order(placed_lines(spark, path), "file", "block", "place", index="doc").where("trim(value) <> ''")
     return lines.select("doc", F.posexplode(F.split("value", r"\s*,\s*")).alias("pos", "t")).select("doc", "pos", F.col("t").cast("int").alias("topic"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """type_id, term, one term for each line of one file."""
-    from pyspark.sql.window import Window
-
-    lines = spark.read.text(path).withColumn("i", F.monotonically_increasing_id())
-    return lines.select((F.row_number().over(Window.orderBy("i")) - 1).cast("int").alias("type_id"), F.col("value").alias("term"))
+    lines = in_order(placed_lines(spark, path), "file", "block", "place")
+    return lines.select(F.col("index").cast("int").alias("type_id"), F.col("value").alias("term"))
 
 
 def read_topic_priors(spark: SparkSession, path: str) -> DataFrame:
@@ -180,18 +216,21 @@ def prior_matrix(zeroed: DataFrame, topics: int, types: int) -> np.ndarray:
     return m
 
 
-def read_doc_priors(spark: SparkSession, path: str, docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, allowed from lines ``[pos|id|class,] key, topic, topic, ...``; ``docs`` (doc_id, name, label) resolves ids and classes."""
-    parts = F.split("value", r"\s*,\s*")
-    lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(parts.alias("p"))
-    kind = F.when(F.get("p", F.lit(0)).isin("pos", "id", "class"), F.get("p", F.lit(0)))
-    x = lines.select(F.coalesce(kind, F.lit("pos")).alias("kind"), F.when(kind.isNotNull(), F.slice("p", 2, 1_000_000)).otherwise(F.col("p")).alias("r"))
-    x = x.select("kind", F.get("r", F.lit(0)).alias("key"), F.transform(F.slice("r", 2, 1_000_000), lambda t: t.cast("int")).alias("allowed"))
-    out = x.where("kind = 'pos'").select(F.col("key").cast("long").alias("doc_id"), "allowed")
-    if docs is not None:
-        out = out.unionAll(x.where("kind = 'id'").join(docs, F.col("key") == F.col("name")).select("doc_id", "allowed")).unionAll(x.where("kind = 'class'").join(docs, F.col("key") == F.col("label")).select("doc_id", "allowed"))
-    return out
-
-
-def words_of(items: Iterable[str]) -> list[str]:
-    return sorted(set(items))
+def read_doc_priors(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, allowed from lines ``[pos|id|class,] number, topic, topic, ...``; lines that begin with # are comments.
+
+    Whatever the word, the number is the place of a document, from 0 (the order of ``read_documents``); of
+    several lines for one document any one may win. Another word, a negative or missing number, or a topic that is no
+    number is an error.
+    """
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select("value", parts.alias("p"))
+    first = F.get("p", F.lit(0))
+    bare = first.rlike(r"^[+-]?\d+$")
+    known = F.lower(first).isin("pos", "id", "class")
+    rest = F.when(bare, F.col("p")).otherwise(F.slice("p", 2, 1_000_000))
+    x = lines.select("value", (bare | known).alias("known"), rest.alias("r"))
+    number = F.try_to_number(F.get("r", F.lit(0)), F.lit("S9999999999")).cast("long")
+    bad = F.raise_error(F.concat(F.lit("no document prior: "), F.col("value")))
+    doc = F.when(F.col("known") & (number >= 0), number).otherwise(bad.cast("long"))
+    return x.select(doc.alias("doc_id"), F.transform(F.slice("r", 2, 1_000_000), lambda t: t.cast("int")).alias("allowed")).dropDuplicates(["doc_id"])

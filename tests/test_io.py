@@ -72,6 +72,30 @@ def test_priors_files(spark, tmp_path):
     assert {r.doc_id: r.allowed for r in loaders.read_doc_priors(spark, str(tmp_path / "d.txt")).collect()} == {0: [0, 2, 4], 19: [1, 3, 5]}
 
 
+def test_doc_prior_words_and_errors(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("id, 3, 1\nClass, 4, 0,2\n7, 5\n")
+    assert {r.doc_id: r.allowed for r in loaders.read_doc_priors(spark, str(tmp_path / "d.txt")).collect()} == {3: [1], 4: [0, 2], 7: [5]}
+    for wrong in ("word, 1, 2", "pos, -1, 2", "pos, x, 2"):
+        (tmp_path / "e.txt").write_text(wrong + "\n")
+        with pytest.raises(Exception, match="no document prior"):
+            loaders.read_doc_priors(spark, str(tmp_path / "e.txt")).collect()
+
+
+def test_documents_follow_lines(spark, tmp_path):
+    rows = [f"docno:{12 - i}\tX\ttext {i}" for i in range(12)]
+    (tmp_path / "a.txt").write_text("\n\n".join(rows))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.txt", "\n\n".join(rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # several splits of one file
+    try:
+        for n in ("a.txt", "a.zip"):
+            got = {r.doc_id: r.name for r in loaders.read_documents(spark, str(tmp_path / n)).collect()}
+            assert got == {i: f"docno:{12 - i}" for i in range(12)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_matrices(spark, tmp_path):
     m = np.array([[1.5, 2.0], [3.0, -4.0]])
     (tmp_path / "m.bin").write_bytes(sinks.matrix_bytes(m))
@@ -87,7 +111,7 @@ def test_indicator_files(spark, tmp_path):
     v = spark.createDataFrame([(5, "five"), (6, "six")], "type_id int, term string")
     sinks.write_indicators(a, str(tmp_path / "z"))
     assert sorted(r.topic for r in loaders.read_indicators(spark, str(tmp_path / "z")).collect()) == [1, 2, 3]
-    sinks.write_indicators(a, str(tmp_path / "m"), "mallet-like", v)
+    sinks.write_indicators(a, str(tmp_path / "m"), "long", v)
     assert "0 NA 1 6 six 2" in [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
     sinks.write_vocabulary(v, str(tmp_path / "v"))
     assert {r.term for r in loaders.read_vocabulary(spark, str(tmp_path / "v")).collect()} == {"five", "six"}
