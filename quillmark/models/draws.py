@@ -33,13 +33,23 @@ def dirichlet(rng: np.random.Generator, weights: np.ndarray) -> np.ndarray:
     return np.divide(g, total, out=np.zeros_like(g), where=total > 0)
 
 
-def conditional_dirichlet(rng: np.random.Generator, current: np.ndarray, weights: np.ndarray, subset: np.ndarray) -> np.ndarray:
-    """Redraw a subset of coordinates and keep the mass that it had."""
+def keep_mass(current: np.ndarray, fresh: np.ndarray, subset: np.ndarray) -> np.ndarray:
+    """Rows of ``current`` whose coordinates in ``subset`` take the proportions of ``fresh`` and keep the mass that they had."""
     out = current.copy()
-    out[subset] = dirichlet(rng, weights[subset]) * current[subset].sum()
+    new = fresh[..., subset]
+    total = new.sum(-1, keepdims=True)
+    mass = current[..., subset].sum(-1, keepdims=True)
+    out[..., subset] = np.where(total > 0, new / np.where(total > 0, total, 1) * mass, current[..., subset])
     return out
 
 
+def conditional_dirichlet(rng: np.random.Generator, current: np.ndarray, weights: np.ndarray, subset: np.ndarray) -> np.ndarray:
+    """Redraw a subset of coordinates and keep the mass that it had."""
+    fresh = np.zeros_like(current)
+    fresh[..., subset] = dirichlet(rng, weights[..., subset])
+    return keep_mass(current, fresh, subset)
+
+
 def polya_urn(rng: np.random.Generator, counts: np.ndarray, beta: float) -> np.ndarray:
     """Rows of normalised Poisson(beta + n) draws, sparse where counts are; a row that draws nothing falls back to a Dirichlet."""
     x = rng.poisson(counts + beta).astype(float)
@@ -66,6 +76,18 @@ def spike_dirichlet(rng: np.random.Generator, counts: np.ndarray, beta: float, p
     return out
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: recurrence up to 6, then the asymptotic series."""
+    x = np.asarray(x, float)
+    add = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        add = np.where(low, add - 1 / np.where(low, x, 1), add)
+        x = np.where(low, x + 1, x)
+    r = 1 / (x * x)
+    return add + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+
+
 def _lgamma(x: float) -> float:
     import math
 
@@ -99,6 +121,26 @@ def alias_tables(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, alias
 
 
+class AliasCache:
+    """Tables of the rows of a weight matrix, built for a row when it is first asked for and kept for the sweep."""
+
+    def __init__(self, weights: Callable[[np.ndarray], np.ndarray], rows: int) -> None:
+        self.weights, self.place = weights, np.full(rows, -1)
+        self.cut = self.alias = self.mass = None
+
+    def at(self, rows: np.ndarray) -> None:
+        """Build what is missing of these distinct rows."""
+        new = rows[self.place[rows] < 0]
+        if not len(new):
+            return
+        w = self.weights(new)
+        cut, alias = alias_tables(w)
+        have = 0 if self.cut is None else len(self.cut)
+        self.place[new] = have + np.arange(len(new))
+        join = lambda old, x: x if old is None else np.concatenate([old, x])
+        self.cut, self.alias, self.mass = join(self.cut, cut), join(self.alias, alias), join(self.mass, w.sum(1))
+
+
 def alias_draw(cut: np.ndarray, alias: np.ndarray, u: np.ndarray) -> np.ndarray:
     """A draw from each row's table by one uniform."""
     k = cut.shape[1]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillmark.models.draws import alias_draw, alias_tables, uniforms
+from quillmark.models.draws import AliasCache, alias_draw, uniforms
 
 
 class Batch:
@@ -47,6 +47,18 @@ def _pick(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.minimum((c <= (u * c[:, -1])[:, None]).sum(1), p.shape[1] - 1)
 
 
+def _pick_near(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The same draw, its cumulative sum taken from whichever end is nearer to ``u``."""
+    k = p.shape[1]
+    z = np.empty(len(u), np.int64)
+    low = u < 0.5
+    c = np.cumsum(p[low], 1)
+    z[low] = (c <= (u[low] * c[:, -1])[:, None]).sum(1)
+    c = np.cumsum(p[~low][:, ::-1], 1)
+    z[~low] = k - 1 - (c < ((1 - u[~low]) * c[:, -1])[:, None]).sum(1)
+    return np.clip(z, 0, k - 1)
+
+
 def initialise(b: Batch, seed: int, allowed: np.ndarray | None = None) -> None:
     """Uniform topics, among the allowed ones of a document."""
     for t in range(b.types.shape[1]):
@@ -57,8 +69,8 @@ def initialise(b: Batch, seed: int, allowed: np.ndarray | None = None) -> None:
     np.add.at(b.counts, (r, b.z[r, c]), 1)
 
 
-def sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, allowed: np.ndarray | None = None) -> None:
-    """p(z = k) in proportion to (n_dk + alpha_k) phi_kw. ``phi``: types by topics."""
+def sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, allowed: np.ndarray | None = None, pick=_pick) -> None:
+    """p(z = k) in proportion to (n_dk + alpha_k) phi_kw. ``phi``: types by topics; L2 picks by ``_pick_near``."""
     for t in range(b.types.shape[1]):
         n = b.active(t)
         r = np.arange(n)
@@ -69,20 +81,23 @@ def sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: in
         dead = p.sum(1) <= 0  # phi may be zero for a type in every topic that is left
         if dead.any():
             p[dead] = (b.counts[:n] + alpha)[dead] * (1.0 if allowed is None else allowed[:n][dead])
-        b.z[:n, t] = _pick(p, uniforms(seed, iteration, b.ids[:n], t))
+        b.z[:n, t] = pick(p, uniforms(seed, iteration, b.ids[:n], t))
         b.counts[r, b.z[:n, t]] += 1
 
 
-def sparse_sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, allowed: np.ndarray | None = None) -> None:
-    """L3, L4: the same target, split into a prior part, drawn from a table of the word, and the document's part."""
+def sparse_sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, allowed: np.ndarray | None = None, tables: AliasCache | None = None) -> None:
+    """L3, L4: the same target, split into a prior part, drawn from a table of the word, and the document's part.
+
+    ``tables`` of phi times alpha are shared by the batches of a sweep.
+    """
     if allowed is not None:
         return sweep(b, phi, alpha, seed, iteration, allowed)
     used = np.unique(b.types[b.z >= 0])
-    prior = phi[used] * alpha
-    mass = prior.sum(1)
-    cut, alias = alias_tables(prior) if len(used) else (prior, prior)
-    place = np.zeros(phi.shape[0], int)
-    place[used] = np.arange(len(used))
+    if not len(used):
+        return
+    tables = tables or AliasCache(lambda rows: phi[rows] * alpha, phi.shape[0])
+    tables.at(used)
+    mass, cut, alias, place = tables.mass, tables.cut, tables.alias, tables.place
     for t in range(b.types.shape[1]):
         n = b.active(t)
         r, w = np.arange(n), place[b.types[:n, t]]
@@ -101,7 +116,7 @@ def sparse_sweep(b: Batch, phi: np.ndarray, alpha: np.ndarray, seed: int, iterat
         b.counts[r, z] += 1
 
 
-def collapsed_sweep(b: Batch, word_topic: np.ndarray, totals: np.ndarray, alpha: np.ndarray, beta: float, seed: int, iteration: int) -> None:
+def collapsed_sweep(b: Batch, word_topic: np.ndarray, totals: np.ndarray, alpha: np.ndarray, beta: float, seed: int, iteration: int, allowed: np.ndarray | None = None) -> None:
     """p(z = k) in proportion to (n_dk + alpha_k) (n_wk + beta) / (n_k + V beta); counts are the batch's own copy."""
     v = word_topic.shape[0]
     for t in range(b.types.shape[1]):
@@ -111,6 +126,8 @@ def collapsed_sweep(b: Batch, word_topic: np.ndarray, totals: np.ndarray, alpha:
         np.add.at(word_topic, (w, old), -1)
         np.add.at(totals, old, -1)
         p = (b.counts[:n] + alpha) * (np.maximum(word_topic[w], 0) + beta) / (np.maximum(totals, 0) + v * beta)
+        if allowed is not None:
+            p = p * allowed[:n]
         z = _pick(p, uniforms(seed, iteration, b.ids[:n], t))
         b.z[:n, t] = z
         b.counts[r, z] += 1
@@ -118,7 +135,7 @@ def collapsed_sweep(b: Batch, word_topic: np.ndarray, totals: np.ndarray, alpha:
         np.add.at(totals, z, 1)
 
 
-def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, shared: tuple[np.ndarray, np.ndarray, float] | None = None) -> None:
+def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, shared: tuple[np.ndarray, np.ndarray, float] | None = None, allowed: np.ndarray | None = None, tables: AliasCache | None = None) -> None:
     """Metropolis-Hastings with a word proposal (a table of ``word_proposal``) and then a document proposal.
 
     ``shared`` (word_topic, totals, beta) makes it collapsed: the target takes the place of ``phi`` from these
@@ -127,9 +144,11 @@ def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha:
     Unlike a shortcut that holds for symmetric alpha only (Q24), both topics use their own alpha.
     """
     used = np.unique(b.types[b.z >= 0])
-    cut, alias = alias_tables(word_proposal[used]) if len(used) else (word_proposal[:0], word_proposal[:0])
-    place = np.zeros(phi.shape[0], int)
-    place[used] = np.arange(len(used))
+    if not len(used):
+        return
+    tables = tables or AliasCache(lambda rows: word_proposal[rows], len(word_proposal))
+    tables.at(used)
+    cut, alias, place = tables.cut, tables.alias, tables.place
     a_sum = alpha.sum()
     a_cum = np.cumsum(alpha)
     for t in range(b.types.shape[1]):
@@ -143,7 +162,8 @@ def proposal_sweep(b: Batch, phi: np.ndarray, word_proposal: np.ndarray, alpha:
             np.add.at(own, (w, start), -1)
             np.add.at(totals, start, -1)
             word = lambda k: (np.maximum(own[w, k], 0) + beta) / (np.maximum(totals[k], 0) + len(own) * beta)  # noqa: E731, B023
-        target = lambda k: (b.counts[r, k] - (k == start) + alpha[k]) * word(k)  # noqa: E731, B023
+        may = (lambda k: 1.0) if allowed is None else (lambda k: allowed[r, k])  # noqa: E731, B023
+        target = lambda k: (b.counts[r, k] - (k == start) + alpha[k]) * word(k) * may(k)  # noqa: E731, B023
         u = [uniforms(seed, iteration, b.ids[:n], t, i) for i in range(5)]
         new = alias_draw(cut[place[w]], alias[place[w]], u[0])
         ratio = target(new) * word_proposal[w, z] / np.maximum(target(z) * word_proposal[w, new], 1e-300)

@@ -11,8 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
-from pathlib import Path
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.models import draws, kernels
-from quillmark.operators.storage import Stored, store
+from quillmark.models.scan import Scan
+from quillmark.operators.storage import Stored, exists, store
 from quillmark.operators.topics import log_likelihood
 
 MOST_CELLS = 200_000_000
+# The names of the schemes, as configuration files write them; kernel and draw are ours.
 SCHEMES = {
-    "uncollapsed": ("dense", "dirichlet"), "efficient_uncollapsed": ("dense", "dirichlet"), "spalias": ("sparse", "dirichlet"), "polyaurn": ("sparse", "polya_urn"),
+    "uncollapsed": ("dense", "dirichlet"), "efficient_uncollapsed": ("ends", "dirichlet"), "spalias": ("sparse", "dirichlet"), "polyaurn": ("sparse", "polya_urn"),
     "polyaurn_priors": ("dense", "polya_urn"), "spalias_priors": ("dense", "dirichlet"), "adlda": ("collapsed", None), "collapsed": ("serial", None), "lightcollapsed": ("light_counts", None),
     "lightpclda": ("light_phi", "dirichlet"), "lightpclda_proposal": ("light_types", "dirichlet"), "nzvsspalias": ("sparse", "variable_selection"), "ppu_hdplda_all_topics": ("hdp", "polya_urn"),
 }
@@ -49,7 +50,10 @@ class Settings:
     selection_prior: float = 0.5
     hdp_gamma: float = 1.0
     report_interval: int = 0
+    start_topics: int = 0  # topics that the first assignment uses (L13); 0 for all
+    phi_builder: str | None = None  # P11: another draw of phi than the scheme's own
     phi_types: Callable[[int], np.ndarray] | None = field(default=None, repr=False)
+    scan: Scan | None = field(default=None, repr=False)
 
     def alphas(self) -> np.ndarray:
         a = np.asarray(self.alpha, float)
@@ -88,6 +92,7 @@ class TopicModel:
 
     def __init__(self, corpus: DataFrame, n_types: int, settings: Settings, topic_priors: np.ndarray | None = None, doc_priors: DataFrame | None = None) -> None:
         self.kernel, self.phi_draw = scheme(settings.scheme)
+        self.phi_draw = self.phi_draw and (settings.phi_builder or self.phi_draw)
         if n_types * settings.topics > MOST_CELLS:
             raise ValueError("topics x types is too large for one broadcast matrix: prune the vocabulary")
         if topic_priors is not None and (not topic_priors.any(1).all() or not topic_priors.any(0).all()):
@@ -100,19 +105,24 @@ class TopicModel:
         self._phi_sum, self._phi_n = None, 0
         self.history: list[dict] = []
         self.psi: np.ndarray | None = None
-        self.allowed_of: dict[int, list[int]] = {}
+        self.n = self.changed = None
+        self.visited: DataFrame | None = None
         if doc_priors is not None:
             corpus = corpus.join(doc_priors.select("doc_id", "allowed"), "doc_id", "left")
         else:
             corpus = corpus.withColumn("allowed", F.lit(None).cast("array<int>"))
         self.with_priors = doc_priors is not None
         k, seed = settings.topics, settings.seed
+        first = np.where(np.arange(k) < settings.start_topics, 1.0, 0.0) if 0 < settings.start_topics < k else None
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     x = kernels.Batch(b.column(0).to_numpy(), _lists(b.column(1)), None, k)
-                    kernels.initialise(x, seed, _allowed(b.column(2), x, k))
+                    mask = _allowed(b.column(2), x, k)
+                    if first is not None and mask is None:
+                        mask = np.broadcast_to(first, (len(x.ids), k))
+                    kernels.initialise(x, seed, mask)
                     yield _out(b, x)
 
         self.doc_priors = store(corpus.where("allowed IS NOT NULL").select("doc_id", "allowed"), "doc-priors") if self.with_priors else None
@@ -132,30 +142,34 @@ class TopicModel:
         return n
 
     def _draw_phi(self) -> None:
-        self.n = self.counts()
+        before, self.n = self.n, self.counts()
+        self.changed = np.ones(self.n_types, bool) if before is None else (before != self.n).any(0)
         if self.phi_draw is None:
             self.phi = (self.n + self.beta) / (self.n + self.beta).sum(1, keepdims=True)
         else:
             rng = np.random.default_rng([self.s.seed, self.iteration, 1])
-            masked = self.n
-            new = draws.PHI_DRAWS[self.phi_draw](rng, masked, self.beta, prior=self.s.selection_prior)
+            new = draws.PHI_DRAWS[self.phi_draw](rng, self.n, self.beta, prior=self.s.selection_prior)
             if self.priors is not None:
                 new = new * self.priors
                 total = new.sum(1, keepdims=True)
                 new = np.where(total > 0, new / np.where(total > 0, total, 1), self.priors / self.priors.sum(1, keepdims=True))
-            if self.s.phi_types is not None and self.phi is not None:  # random scan: other types keep their mass
-                sub = self.s.phi_types(self.iteration)
-                kept = self.phi.copy()
-                for k in range(len(kept)):
-                    mass, fresh = kept[k, sub].sum(), new[k, sub].sum()
-                    if fresh > 0:
-                        kept[k, sub] = new[k, sub] / fresh * mass
-                new = kept
-            self.phi = new
+            self.phi = new if self.phi is None else self._scanned(new)
         if self.iteration >= self.s.burn_in * self.s.iterations and self.iteration % self.s.thin == 0:
             self._phi_sum = self.phi if self._phi_sum is None else self._phi_sum + self.phi
             self._phi_n += 1
 
+    def _scanned(self, new: np.ndarray) -> np.ndarray:
+        """What of a fresh phi the scan policies let in: some topics only, and some types only, which keep their mass."""
+        scan = self.s.scan
+        types = self.s.phi_types(self.iteration) if self.s.phi_types is not None else scan.types(self.iteration, self.n, self.changed) if scan else None
+        out = new if types is None else draws.keep_mass(self.phi, new, types)
+        topics = scan.topics(self.iteration) if scan else None
+        if topics is None:
+            return out
+        kept = self.phi.copy()
+        kept[topics] = out[topics]
+        return kept
+
     # sweeps -------------------------------------------------------------------------------------
     def _sweep(self) -> None:
         spark, k, seed, it, kernel, beta = self.spark, self.s.topics, self.s.seed, self.iteration, self.kernel, self.beta
@@ -166,21 +180,24 @@ class TopicModel:
             phi, n = shared.value
             own = n.copy() if n is not None else None
             totals = own.sum(0) if own is not None else None
+            weights = {"light_counts": lambda rows: n[rows] + beta, "light_phi": lambda rows: phi[rows] + 1e-12, "light_types": lambda rows: n[rows] + beta}.get(kernel, lambda rows: phi[rows] * alpha)
+            tables = draws.AliasCache(weights, len(phi))
+            proposal = {"light_counts": lambda: n + beta, "light_phi": lambda: phi + 1e-12, "light_types": lambda: n + beta}.get(kernel, lambda: None)()
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = kernels.Batch(b.column(0).to_numpy(), _lists(b.column(1)), _lists(b.column(2)), k)
                 allowed = _allowed(b.column(3), x, k)
                 if kernel in ("collapsed", "serial"):
-                    kernels.collapsed_sweep(x, own, totals, alpha, beta, seed, it)
+                    kernels.collapsed_sweep(x, own, totals, alpha, beta, seed, it, allowed)
                 elif kernel == "light_counts":
-                    kernels.proposal_sweep(x, phi, own + beta, alpha, seed, it, (own, totals, beta))
-                elif kernel == "light_phi":
-                    kernels.proposal_sweep(x, phi, phi + 1e-12, alpha, seed, it)
-                elif kernel == "light_types":
-                    kernels.proposal_sweep(x, phi, n + beta, alpha, seed, it)
+                    kernels.proposal_sweep(x, phi, proposal, alpha, seed, it, (own, totals, beta), allowed, tables)
+                elif kernel in ("light_phi", "light_types"):
+                    kernels.proposal_sweep(x, phi, proposal, alpha, seed, it, None, allowed, tables)
                 elif kernel in ("sparse", "hdp"):
-                    kernels.sparse_sweep(x, phi, alpha, seed, it, allowed)
+                    kernels.sparse_sweep(x, phi, alpha, seed, it, allowed, tables)
+                elif kernel == "ends":
+                    kernels.sweep(x, phi, alpha, seed, it, allowed, kernels._pick_near)
                 else:
                     kernels.sweep(x, phi, alpha, seed, it, allowed)
                 yield _out(b, x)
@@ -188,7 +205,13 @@ class TopicModel:
         src = self.state.df
         src = src.join(self.doc_priors.df, "doc_id", "left") if self.with_priors else src.withColumn("allowed", F.lit(None).cast("array<int>"))
         src = src.select("doc_id", "types", "z", "allowed")
-        new = store((src.coalesce(1) if kernel == "serial" else src).mapInArrow(run, SCHEMA), "state")
+        visited = self.s.scan.documents(src.select("doc_id"), it) if self.s.scan else None
+        rest = None
+        if visited is not None:  # the other documents keep their topics
+            seen = store(visited.select("doc_id"), "visited")
+            src, rest, self.visited = src.join(seen.df, "doc_id", "left_semi"), src.join(seen.df, "doc_id", "left_anti").select("doc_id", "types", "z"), seen.df
+        swept = (src.coalesce(1) if kernel == "serial" else src).mapInArrow(run, SCHEMA)
+        new = store(swept if rest is None else swept.unionByName(rest), "state")
         self.state.drop()
         self.state = new
         shared.unpersist()
@@ -196,7 +219,7 @@ class TopicModel:
     def sample(self, iterations: int | None = None, callback: Callable[[TopicModel], None] | None = None, abort_file: str | None = None) -> TopicModel:
         """Sweeps from where the model stands; stops early when aborted or when the file exists."""
         for _ in range(self.s.iterations if iterations is None else iterations):
-            if self.aborted or (abort_file and Path(abort_file).exists()):
+            if self.aborted or (abort_file and exists(self.spark, abort_file)):
                 self.aborted = True
                 break
             self.iteration += 1
@@ -259,12 +282,11 @@ class TopicModel:
         d = self.assign().groupBy("doc_id", "topic").count()
         per_topic = d.groupBy("topic", "count").agg(F.count(F.lit(1)).alias("docs")).toPandas()
         lengths = d.groupBy("doc_id").agg(F.sum("count").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("docs")).toPandas()
-        gain = lambda a, n: sum(1 / (a + i) for i in range(int(n)))
+        gain = lambda a, n: draws.digamma(a + n) - draws.digamma(a)
+        topic, n, m = (per_topic[c].to_numpy(int) for c in ("topic", "count", "docs"))
         for _ in range(rounds):
-            below = sum(m * gain(self.alpha.sum(), n) for n, m in zip(lengths["n"], lengths["docs"]))
-            above = np.zeros(self.s.topics)
-            for t, n, m in zip(per_topic["topic"], per_topic["count"], per_topic["docs"]):
-                above[int(t)] += m * gain(self.alpha[int(t)], n)
+            below = (lengths["docs"].to_numpy(float) * gain(self.alpha.sum(), lengths["n"].to_numpy(float))).sum()
+            above = np.bincount(topic, m * gain(self.alpha[topic], n), minlength=self.s.topics)
             if below <= 0:
                 return
             if self.s.symmetric_alpha:
@@ -274,8 +296,8 @@ class TopicModel:
                 self.alpha = np.maximum(self.alpha * above / below, 1e-6)
         values, times = np.unique(self.n[self.n > 0], return_counts=True)
         for _ in range(rounds):
-            above = sum(m * gain(self.beta, n) for n, m in zip(values, times))
-            below = self.n_types * sum(gain(self.beta * self.n_types, n) for n in self.n.sum(1))
+            above = (times * gain(self.beta, values)).sum()
+            below = self.n_types * gain(self.beta * self.n_types, self.n.sum(1)).sum()
             if below <= 0:
                 return
             self.beta = max(self.beta * above / below, 1e-6)
@@ -310,29 +332,52 @@ class TopicModel:
         return order
 
     def save(self, folder: str) -> None:
-        """Parquet and a manifest, under a folder named by the settings' hash (``run_key``)."""
+        """Parquet and a manifest, under a folder named by the settings' hash (``run_key``).
+
+        Everything that later sweeps depend on is kept: priors, psi, the running sum of phi and the
+        history. Scan policies are functions and come from the configuration again.
+        """
         self.state.df.write.mode("overwrite").parquet(f"{folder}/state")
-        ks, vs = np.nonzero(self.phi)
-        rows = pa.table({"topic": ks.astype(np.int32), "type_id": vs.astype(np.int32), "p": self.phi[ks, vs]})
-        self.spark.createDataFrame(rows.to_pandas()).write.mode("overwrite").parquet(f"{folder}/phi")
-        s = {k: v for k, v in asdict(self.s).items() if k != "phi_types"}
-        note = {"settings": s, "n_types": self.n_types, "iteration": self.iteration, "alpha": self.alpha.tolist(), "beta": self.beta}
+        parts = {"phi": self.phi, "phi_sum": self._phi_sum, "barred": None if self.priors is None else 1.0 - self.priors}
+        for name, m in parts.items():
+            if m is not None:
+                ks, vs = np.nonzero(m)
+                rows = pa.table({"topic": ks.astype(np.int32), "type_id": vs.astype(np.int32), "p": m[ks, vs]})
+                self.spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{folder}/{name}")
+        if self.with_priors:
+            self.doc_priors.df.write.mode("overwrite").parquet(f"{folder}/doc_priors")
+        s = {k: v for k, v in asdict(replace(self.s, phi_types=None, scan=None)).items() if k not in ("phi_types", "scan")}
+        note = {
+            "settings": s, "n_types": self.n_types, "iteration": self.iteration, "alpha": self.alpha.tolist(), "beta": self.beta, "psi": None if self.psi is None else self.psi.tolist(),
+            "phi_n": self._phi_n, "history": self.history, "topic_priors": self.priors is not None, "doc_priors": self.with_priors,
+        }
         self.spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> TopicModel:
+    def load(cls, spark: SparkSession, folder: str, scan: Scan | None = None) -> TopicModel:
         note = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
         m = cls.__new__(cls)
-        m.s = Settings(**note["settings"])
+        m.s = Settings(**note["settings"], scan=scan)
         m.kernel, m.phi_draw = scheme(m.s.scheme)
+        m.phi_draw = m.phi_draw and (m.s.phi_builder or m.phi_draw)
         m.n_types, m.spark, m.iteration, m.aborted = note["n_types"], spark, note["iteration"], False
-        m.alpha, m.beta, m.priors, m.psi, m.history = np.array(note["alpha"]), note["beta"], None, None, []
-        m.with_priors, m.doc_priors, m._phi_sum, m._phi_n = False, None, None, 0
+        m.alpha, m.beta, m.history, m.visited = np.array(note["alpha"]), note["beta"], note["history"], None
+        m.psi = None if note["psi"] is None else np.array(note["psi"])
+
+        def matrix(name: str) -> np.ndarray:
+            p = spark.read.parquet(f"{folder}/{name}").toPandas()
+            out = np.zeros((m.s.topics, m.n_types))
+            out[p["topic"].to_numpy(int), p["type_id"].to_numpy(int)] = p["p"]
+            return out
+
+        m.phi, m._phi_n = matrix("phi"), note["phi_n"]
+        m._phi_sum = matrix("phi_sum") if m._phi_n else None
+        m.priors = 1.0 - matrix("barred") if note["topic_priors"] else None
+        m.with_priors = note["doc_priors"]
+        m.doc_priors = store(spark.read.parquet(f"{folder}/doc_priors"), "doc-priors") if m.with_priors else None
         m.state = store(spark.read.parquet(f"{folder}/state"), "state")
-        p = spark.read.parquet(f"{folder}/phi").toPandas()
-        m.phi = np.zeros((m.s.topics, m.n_types))
-        m.phi[p["topic"].to_numpy(int), p["type_id"].to_numpy(int)] = p["p"]
         m.n = m.counts()
+        m.changed = np.ones(m.n_types, bool)
         return m
 
 
@@ -352,7 +397,7 @@ def run_key(settings: Settings, dataset: str) -> str:
     """The folder name of a saved model: a digest of its settings and data set."""
     import hashlib
 
-    s = {k: v for k, v in asdict(settings).items() if k != "phi_types"}
+    s = {k: v for k, v in asdict(replace(settings, phi_types=None, scan=None)).items() if k not in ("phi_types", "scan")}
     return hashlib.md5(json.dumps([s, dataset], sort_keys=True).encode()).hexdigest()
 
 

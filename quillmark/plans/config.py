@@ -7,10 +7,15 @@ from __future__ import annotations
 
 import argparse
 import time
+import warnings
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 TRUE = ("true", "yes", "1")
+#: Keys that steer threads, progress or debug output of a single machine; Spark schedules by itself.
+NO_EFFECT = ("batches", "topic_batches", "results_size", "debug", "print_phi", "measure_timing", "show_progress_bar", "document_sampler_split_limit", "alias_poisson_threshold", "start_diagnostic", "original_dataset")
+# Class names of phi builders in configuration files, and our draws.
+PHI_BUILDERS = {"": None, "dirichlet": "dirichlet", "polya_urn": "polya_urn", "DefaultSparseDirichletSamplerBuilder": "dirichlet", "PolyaUrnFixedCoeffPoissonDirichletSamplerBuilder": "polya_urn"}
 
 
 @dataclass
@@ -49,6 +54,7 @@ class Config:
     proportional_ib_skip_step: int = 10
     instability_period: int = 0
     full_phi_period: int = 0
+    dn_diagnostic_interval: list[int] = field(default_factory=list)
     print_ndocs_interval: list[int] = field(default_factory=list)
     print_ndocs_cnt: int = 0
     print_ntopwords_interval: list[int] = field(default_factory=list)
@@ -99,12 +105,29 @@ class Config:
     hdp_nr_start_topics: int = 1
     hdp_k_percentile: float = 0.8
     document_sampler_split_limit: int = 100
-    sparse_dirichlet_sampler_builder_name: str = "polya_urn"
+    sparse_dirichlet_sampler_builder_name: str = ""
     alias_poisson_threshold: int = 100
     test_ids_filename: str = ""
     no_runs: int = 1
     show_progress_bar: bool = False
 
+    def __post_init__(self) -> None:
+        """Keys that can't be honoured are refused; keys without an effect here are named in a warning."""
+        if self.sampler_class:
+            raise ValueError("sampler_class: samplers are chosen by scheme")
+        default = {f.name: f.default for f in fields(self)}
+        idle = [k for k in NO_EFFECT if getattr(self, k) != default[k]]
+        if idle:
+            warnings.warn(f"keys without effect: {', '.join(idle)}", stacklevel=3)
+        self.phi_builder()
+
+    def phi_builder(self) -> str | None:
+        """The draw of phi that ``sparse_dirichlet_sampler_builder_name`` names, None for the scheme's own."""
+        last = self.sparse_dirichlet_sampler_builder_name.strip().rsplit(".", 1)[-1]
+        if last not in PHI_BUILDERS:
+            raise ValueError(f"sparse_dirichlet_sampler_builder_name = {last}: known are {', '.join(PHI_BUILDERS)}")
+        return PHI_BUILDERS[last]
+
     def run_seed(self) -> int:
         """0 and -1 mean a seed from the clock (Q19)."""
         return self.seed if self.seed not in (0, -1) else time.time_ns() % (1 << 31)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators import vocab
 from quillmark.operators.order import in_order
+from quillmark.operators.storage import exists, is_directory
 
 #: name, label and data of a line; a line without a tab is label only (Q28).
 LINE = r"^(\S*)[\s,]*([^\t]+)[\s,]*(.*)$"
@@ -29,18 +30,6 @@ def parse_line(line: Column | str) -> list[Column]:
     return [F.regexp_extract(c, LINE, i).alias(n) for i, n in ((1, "name"), (2, "label"), (3, "text"))]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def is_directory(spark: SparkSession, path: str) -> bool:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(fs_path) and fs.getFileStatus(fs_path).isDirectory())
-
-
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, file, block, place: the lines of plain or gzip files; (file, block, place) is their order, splits of one file included."""
     m = F.col("_metadata")
@@ -157,15 +146,25 @@ def load_documents(spark: SparkSession, path: str, file_regex: str = r".*\.txt$"
     return read_documents(spark, path)
 
 
-def load_dataset(spark: SparkSession, path: str, settings, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Reads a file, archive or directory as the settings (``quillmark.plans.config``) ask for."""
-    docs = load_documents(spark, path, settings.file_regex)
+def corpus_of(spark: SparkSession, docs: DataFrame, settings, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, types) and the vocabulary of documents, as the settings (``quillmark.plans.config``) ask for.
+
+    Every document gets a row, those without a known word an empty list.
+    """
     kw = {"raw": settings.no_preprocess, "keep_numbers": settings.keep_numbers, "keep_connectors": settings.keep_connecting_punctuation, "longest": settings.max_doc_buf_size, "stoplist": read_stoplist(spark, settings.stoplist)}
     if ids is not None:
-        return with_vocabulary(docs, ids, **kw), ids
-    if settings.tfidf_vocab_size > 0:
-        return load_kept(docs, settings.tfidf_vocab_size, **kw)
-    return load_pruned(docs, settings.rare_threshold, **kw)
+        corpus = with_vocabulary(docs, ids, **kw)
+    elif settings.tfidf_vocab_size > 0:
+        corpus, ids = load_kept(docs, settings.tfidf_vocab_size, **kw)
+    else:
+        corpus, ids = load_pruned(docs, settings.rare_threshold, **kw)
+    none = F.array().cast("array<int>")
+    return docs.select("doc_id").join(corpus, "doc_id", "left").select("doc_id", F.coalesce("types", none).alias("types")), ids
+
+
+def load_dataset(spark: SparkSession, path: str, settings, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reads a file, archive or directory as the settings ask for."""
+    return corpus_of(spark, load_documents(spark, path, settings.file_regex), settings, ids)
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

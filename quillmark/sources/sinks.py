@@ -8,10 +8,11 @@ from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators import vectors
+from quillmark.operators import topics, vectors
+from quillmark.operators.storage import exists, write_bytes
 
 
 def _text(df: DataFrame, path: str) -> None:
@@ -62,12 +63,6 @@ def write_svmlight(corpus: DataFrame, path: str) -> None:
     _text(corpus.orderBy("doc_id").select(vectors.svmlight(F.col("types")).alias("value")), path)
 
 
-def append_metrics(rows: list[dict], spark, path: str) -> None:
-    """Likelihood, statistics and held-out figures, appended as rows."""
-    if rows:
-        spark.createDataFrame(rows).write.mode("append").parquet(path)
-
-
 def diagnostics_text(wide: DataFrame, kind: str = "csv") -> str:
     """One line for each topic as csv or aligned text, or xml; K rows at most are read."""
     cols = wide.columns
@@ -81,17 +76,42 @@ def diagnostics_text(wide: DataFrame, kind: str = "csv") -> str:
     return f"<?xml version=\"1.0\"?>\n<model>\n{body}</model>\n" if rows else f"<model>{escape('')}</model>"
 
 
+def write_log(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """One tab-separated file with a header: iteration first, then the other figures; nothing without rows."""
+    if rows:
+        cols = ["iteration"] + sorted({k for r in rows for k in r} - {"iteration"})
+        body = "\n".join("\t".join("" if r.get(c) is None else str(r[c]) for c in cols) for r in rows)
+        write_bytes(spark, path, ("\t".join(cols) + "\n" + body + "\n").encode())
+
+
+def write_delta(before: DataFrame, after: DataFrame, path: str, iteration: int) -> None:
+    """The counts that changed in an iteration (L27), under a folder of their own."""
+    write_table(topics.count_delta(before, after), f"{path}/iteration={iteration}")
+
+
 class Run:
-    """A run directory named by time, with a manifest and timings."""
+    """A run directory named by time, on any file system, with a manifest (settings, commit, Spark version) and timings."""
 
-    def __init__(self, base: str, name: str, settings: dict) -> None:
-        self.path = Path(base) / f"{name}-{time.strftime('%Y-%m-%d--%H_%M_%S')}"
-        self.path.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, base: str, name: str, settings: dict) -> None:
+        self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{time.strftime('%Y-%m-%d--%H_%M_%S')}"
+        while exists(spark, self.path):
+            self.path += "+"
         self.started, self.times = time.time(), {}
-        (self.path / "manifest.json").write_text(json.dumps(settings, indent=1, sort_keys=True, default=str))
+        note = {"settings": settings, "commit": commit(), "spark": spark.version, "application": spark.sparkContext.applicationId}
+        write_bytes(spark, f"{self.path}/manifest.json", json.dumps(note, indent=1, sort_keys=True, default=str).encode())
 
     def timed(self, what: str, seconds: float) -> None:
         self.times[what] = self.times.get(what, 0.0) + seconds
 
     def finish(self) -> None:
-        (self.path / "timings.json").write_text(json.dumps(self.times | {"total": time.time() - self.started}, indent=1))
+        write_bytes(self.spark, f"{self.path}/timings.json", json.dumps(self.times | {"total": time.time() - self.started}, indent=1).encode())
+
+
+def commit() -> str | None:
+    """The commit of the code's checkout, if it is one."""
+    git = Path(__file__).resolve().parents[2] / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+        return (git / head.removeprefix("ref: ")).read_text().strip() if head.startswith("ref: ") else head
+    except OSError:
+        return None

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.models import lda
-from quillmark.operators import diagnostics, topics, vocab
+from quillmark.operators import classify, diagnostics, topics, vocab
 from quillmark.plans import config, programs
 from quillmark.sources import loaders, sinks
 from quillmark.streaming import streams
@@ -146,7 +146,7 @@ def test_training_program(spark, files):
     m, ids = programs.train(spark, c)
     assert len(m.history) == 3
     out = next((files / "out").iterdir())
-    assert {"top_words", "vocabulary", "doc_topic_means", "metrics", "manifest.json"} <= {p.name for p in out.iterdir()}
+    assert {"top_words.csv", "vocabulary", "doc_topic_means", "likelihood.txt", "stats.txt", "manifest.json"} <= {p.name for p in out.iterdir()}
     folder = str(files / "saved" / lda.run_key(m.s, c.dataset))
     got = programs.infer(spark, c, folder, str(files / "small.txt"), 3)
     assert got.count() == 10
@@ -194,8 +194,51 @@ def test_vocabulary_ids_follow_first_appearance(spark, jokes):
     assert (ids["a"], ids["freudian"], ids["slip"]) == (0, 1, 2)
 
 
-@pytest.mark.parametrize("key", ["batch_building_scheme", "topic_batch_building_scheme", "topic_index_building_scheme"])
-def test_partial_scans_are_refused(key):
+def test_unknown_policies_and_keys_are_refused():
     assert programs.settings(config.Config()).topics == 10
-    with pytest.raises(NotImplementedError, match=key):
-        programs.settings(config.Config(**{key: "percentage"}))
+    with pytest.raises(ValueError, match="topic_index_building_scheme"):
+        programs.settings(config.Config(topic_index_building_scheme="nothing"))
+    with pytest.raises(ValueError, match="sampler_class"):
+        config.Config(sampler_class="x")
+    with pytest.warns(UserWarning, match="batches"):
+        config.Config(batches=7)
+    assert [i for i in range(9) if programs.in_intervals(i, [1, 2, 6, 7])] == [1, 2, 6, 7]
+
+
+def test_train_with_test_set_and_intervals(spark, files):
+    (files / "test.txt").write_text("x\tX\tcommon words words\ny\tX\tmore unknown\n")
+    c = config.Config(dataset=str(files / "small.txt"), test_dataset=str(files / "test.txt"), topics=2, alpha=0.5, iterations=3, seed=1, base_out_dir=str(files / "o"), stoplist="", topic_interval=1, dn_diagnostic_interval=[2, 3], print_ndocs_cnt=2, print_ndocs_interval=[2, 2], print_ntopwords_cnt=2, print_ntopwords_interval=[3, 3], log_type_topic_density=True, log_document_density=True, log_phi_density=True, log_tokens_per_topic=True)
+    programs.train(spark, c)
+    out = next((files / "o").iterdir())
+    assert len((out / "test_held_out_log_likelihood.txt").read_text().splitlines()) == 4
+    stats = (out / "stats.txt").read_text().splitlines()
+    assert {"phi_density", "document_density", "type_topic_density", "tokens_per_topic", "held_out"} <= set(stats[0].split("\t"))
+    assert spark.read.parquet(str(out / "doc_theta")).count() == 2
+    assert {r.iteration for r in spark.read.parquet(str(out / "top_words")).select("iteration").distinct().collect()} == {3}
+    assert (out / "delta_n").exists()
+    assert spark.read.parquet(str(out / "test_theta")).count() == 2
+
+
+def test_cross_validation_writes_phi_and_zbar(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, [int(x) for x in rng.integers(0, 10, 30) + 10 * (i % 2)]) for i in range(40)], "doc_id long, types array<int>")
+    programs.cross_validation(docs, 20, lda.Settings(topics=2, alpha=0.1, iterations=3, seed=2), 2, str(tmp_path), 5)
+    a, b = (spark.read.parquet(str(tmp_path / "fold=0" / n)) for n in ("train-zbar", "test-zbar"))
+    assert a.count() + b.count() == 40
+    phi = spark.read.parquet(str(tmp_path / "fold=0" / "train-phi")).collect()
+    assert all(abs(sum(r.phi) - 1) < 1e-9 and len(r.phi) == 20 for r in phi)
+    assert spark.read.csv(str(tmp_path / "fold=0" / "test-ids")).count() == b.count()
+
+
+@pytest.mark.parametrize("command", ["train", "similarity", "bm25", "export", "mass", "classify"])
+def test_commands(spark, files, command):
+    c = config.Config(dataset=str(files / "small.txt"), test_dataset=str(files / "small.txt"), topics=2, alpha=0.5, iterations=1, seed=1, base_out_dir=str(files / "cmd"), stoplist="", topic_interval=0)
+    programs.COMMANDS[command](spark, c)
+    assert list((files / "cmd").iterdir())
+
+
+def test_smaller_class_wins_ties(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    flat = lambda d: d.select("doc_id", F.lit(1.0).alias("score"))
+    for names in ("ab", "ba"):
+        assert {r.predicted for r in classify.by_corpus({n: flat for n in names}, docs).collect()} == {"a"}

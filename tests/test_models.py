@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.models import draws, kernels, lda, scan
+from quillmark.plans import config
 from quillmark.queries import models
 from quillmark.queries import text as TQ
 
@@ -133,15 +134,97 @@ def test_left_to_right_is_exact_for_one_topic():
 
 def test_scan_policies():
     n = np.array([[1, 140, 14, 20, 5]])
-    assert list(scan.frequent_types(n, 0.4)(1)) == [1, 3]
-    pick = scan.systematic_types(n, 60, 1)
-    assert np.mean([1 in pick(i) for i in range(50)]) == 1
+    all_ = np.ones(5, bool)
+    assert list(scan.frequent_types(0.4)(1, n, all_)) == [1, 3]
+    pick = scan.systematic_types(60, 1)
+    assert np.mean([1 in pick(i, n, all_) for i in range(50)]) == 1
     with pytest.raises(ValueError, match="one or more"):
-        scan.systematic_types(np.array([[0, 3]]), 2, 1)
+        scan.systematic_types(2, 1)(1, np.array([[0, 3]]), all_)
     assert [list(x) for x in scan.even_topics(5, 2)] == [[0, 1, 2], [3, 4]]
     assert len(scan.percentage_topics(10, 0.25, 1, 1)) == 3
-    assert list(scan.alternate(lambda i: [0], lambda i: [1])(3)) == [1]
-    assert len(scan.beta_fraction_types(n, 2, 2, 0)(0)) == 5
+    assert list(scan.alternate(lambda i, n, c: [0], lambda i, n, c: [1])(3, n, all_)) == [1]
+    assert len(scan.beta_fraction_types(2, 2, 0)(0, n, all_)) == 5
+    moved = np.array([True, False, True, False, False])
+    assert list(scan.changed_types()(1, n, moved)) == [0, 2]
+    assert scan.changed_types(instability=3)(3, n, moved) is None
+    assert scan.changed_types(full_period=4)(8, n, moved) is None
+    assert scan.all_types()(1, n, moved) is None
+
+
+def test_scan_from_configuration():
+    c = config.Config(topics=K, batch_building_scheme="some.package.PercentageBatchBuilder", percentage_split_size_doc=0.2, topic_batch_building_scheme="percentage", percentage_split_size_topic=0.5, topic_index_building_scheme="MetaTopicIndexBuilder", sub_topic_index_builders=["changed", "frequent"])
+    p = scan.from_config(c, 1)
+    assert len(p.topics(1)) == 2
+    assert len(p.types(1, np.array([[4, 3, 2, 1, 1]]), np.ones(5, bool))) == 1
+    with pytest.raises(ValueError, match="batch_building_scheme"):
+        scan.from_config(config.Config(batch_building_scheme="nothing"), 1)
+
+
+@pytest.mark.parametrize("docs", ["percentage", "adaptive", "fixed_split"])
+def test_unvisited_documents_keep_their_topics(planted, docs):
+    c = config.Config(topics=K, batch_building_scheme=docs, percentage_split_size_doc=0.1, fixed_split_size_doc=[0.1, 0.2], instability_period=1)
+    m = lda.TopicModel(planted, V, settings(scheme="uncollapsed", scan=scan.from_config(c, 3)))
+    m.sample(1)
+    z = {r.doc_id: r.z for r in m.state.df.collect()}
+    before = m.phi.copy()
+    m.sample(1)
+    seen = {r.doc_id for r in m.visited.collect()}
+    assert len(seen) == {"percentage": 21, "adaptive": 21, "fixed_split": 40}[docs]
+    now = {r.doc_id: r.z for r in m.state.df.collect()}
+    assert set(now) == set(z)
+    assert all(now[i] == z[i] for i in z if i not in seen)
+    assert any(now[i] != z[i] for i in seen)
+    assert m.counts().sum() == 200 * 40
+    assert not np.allclose(m.phi, before)
+
+
+def test_only_some_topics_of_phi_are_drawn(planted):
+    m = lda.TopicModel(planted, V, settings(scheme="uncollapsed", scan=scan.Scan(topics=lambda i: np.array([1]))))
+    before = m.phi.copy()
+    m.sample(1)
+    assert (m.phi[[0, 2, 3]] == before[[0, 2, 3]]).all()
+    assert not np.allclose(m.phi[1], before[1])
+
+
+@pytest.mark.parametrize("scheme", ["uncollapsed", "efficient_uncollapsed", "spalias", "collapsed", "lightcollapsed", "lightpclda"])
+def test_document_priors_bind_every_kernel(planted, scheme):
+    allowed = planted.select("doc_id", F.array((F.col("doc_id") % K).cast("int")).alias("allowed"))
+    m = lda.TopicModel(planted, V, settings(scheme=scheme, iterations=2), doc_priors=allowed).sample()
+    assert m.assign().where(f"topic <> doc_id % {K}").count() == 0
+
+
+def test_near_end_draw_is_the_same_draw():
+    p = np.random.default_rng(0).random((1000, 7))
+    u = np.random.default_rng(1).random(1000)
+    assert (kernels._pick(p, u) == kernels._pick_near(p, u)).all()
+
+
+def test_digamma():
+    assert draws.digamma(np.array([1.0, 0.5, 20.0])) == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.9705239922421498], abs=1e-10)
+
+
+def test_saved_models_keep_priors_and_means(spark, planted, tmp_path):
+    priors = np.ones((K, V))
+    priors[0, :10] = 0
+    allowed = planted.where("doc_id % 2 = 0").select("doc_id", F.array(F.lit(0), F.lit(2)).alias("allowed"))
+    m = lda.TopicModel(planted, V, settings(scheme="polyaurn_priors", iterations=4), topic_priors=priors, doc_priors=allowed).sample(3)
+    m.save(f"file://{tmp_path}/p")
+    again = lda.TopicModel.load(spark, f"file://{tmp_path}/p")
+    assert np.allclose(again.phi_mean(), m.phi_mean())
+    again.sample(1)
+    m.sample(1)
+    assert (again.counts() == m.counts()).all()
+    assert again.phi[0, :10].sum() == 0
+    assert again.assign().where("doc_id % 2 = 0 AND topic NOT IN (0, 2)").count() == 0
+
+
+def test_assignments_of_another_sampler(planted):
+    a = lda.TopicModel(planted, V, settings(iterations=2)).sample()
+    b = lda.TopicModel(planted, V, settings(scheme="uncollapsed"))
+    b.set_assignments(a.state.df)
+    assert (b.counts() == a.counts()).all()
+    with pytest.raises(ValueError, match="don't fit"):
+        b.set_assignments(a.state.df.limit(3))
 
 
 def test_random_scan_keeps_the_mass_of_other_types(planted):
