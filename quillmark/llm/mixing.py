@@ -4,7 +4,9 @@ Every record has a hash-seeded uniform u for each mix. The mean at which the Poi
 inverse at u reaches k is its k-th critical mean, so a record is drawn as often as it has critical
 means below its source's mean rate. Rates are set where the drawn tokens of the source come nearest
 to its share: critical means are added up in narrow logarithmic buckets, which bounds what is sorted
-by the number of sources. Chosen records are exploded by their counts and shuffled globally.
+by the number of sources. As records are whole, what is drawn misses the goal by a part of a record;
+in each of ``ROUNDS`` rounds the one record of a source whose size comes nearest to what is missing is
+used once more, or once less. Chosen records are exploded by their counts and shuffled globally.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql.window import Window
 
 from quillmark.operators.storage import materialize
 
-#: A public byte-level BPE vocabulary in rank format; a parameter, read on the driver only.
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The setting that names a byte-level BPE vocabulary in rank format, and where it is looked for if unset; read on the driver only.
+VOCABULARY_KEY, VOCABULARY = "quillmark.tokenizer.vocabulary", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern of that tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEADROOM = 0.9
+ROUNDS = 3
 STEPS = 400  # buckets for each factor e of a mean rate: a bucket is 0.25 % wide
 
 
@@ -40,9 +43,12 @@ def _counter(lines) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     return run
 
 
-def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
-    """``df`` with the number of tokens of each whole text; null texts have 0. The vocabulary file (about 1 MB) is broadcast."""
-    with open(vocabulary, "rb") as f:
+def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str | None = None, out: str = "n_tokens") -> DataFrame:
+    """``df`` with the number of tokens of each whole text; null texts have 0. The vocabulary file (about 1 MB) is broadcast.
+
+    Write the result before filtering on it: a filter on ``out`` would be computed apart, by a second tokenisation.
+    """
+    with open(vocabulary or df.sparkSession.conf.get(VOCABULARY_KEY, VOCABULARY), "rb") as f:
         lines = df.sparkSession.sparkContext.broadcast(f.read().splitlines())
     return df.withColumn(out, F.pandas_udf(_counter(lines), "long")(F.col(text)))
 
@@ -87,11 +93,11 @@ class Mixture:
     non-positive cap or share means that the source isn't used. Only sources of the targets are read.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, vocabulary: str = VOCABULARY, total_tokens: int | None = None) -> None:
+    def __init__(self, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, vocabulary: str | None = None, total_tokens: int | None = None) -> None:
         self.targets = targets.select("mix_name", "source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
         used = self.targets.where("source IS NOT NULL AND max_repeats > 0 AND target_share > 0")
         docs = documents.where(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-        self.sized = materialize(with_token_counts(docs, "text", vocabulary).select("doc_id", "source", "n_tokens").where("n_tokens > 0"), "sized")
+        self.sized = materialize(with_token_counts(docs, "text", vocabulary).select("doc_id", "source", "n_tokens"), "sized").where("n_tokens > 0")
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_name", "doc_id"), 11).cast("double") + 0.5) * F.lit(2.0**-53)
         drawn = self.sized.join(used, "source").select("mix_name", "source", "doc_id", "n_tokens", "max_repeats", u.alias("u"))
         self.critical = materialize(drawn.mapInPandas(_critical, "mix_name string, source string, doc_id long, n_tokens long, buckets array<long>"), "critical")
@@ -107,11 +113,28 @@ class Mixture:
         best = cuts.groupBy("mix_name", "source").agg(F.min_by("b", F.struct(off, F.col("b"))).alias("b"), F.min(off).alias("off"), F.min("goal").alias("goal"))
         # a source may be nearest to its goal when nothing of it is drawn
         self.rates = materialize(best.select("mix_name", "source", F.when(F.col("goal") < F.col("off"), F.lit(-(1 << 40))).otherwise(F.col("b")).alias("cut")), "rates")
-        self.counts = self.critical.join(self.rates, ["mix_name", "source"]).select("mix_name", "source", "doc_id", "n_tokens", F.size(F.filter("buckets", lambda x: x <= F.col("cut"))).alias("repeats")).where("repeats > 0")
+        drawn = self.critical.join(self.rates, ["mix_name", "source"]).select("mix_name", "source", "doc_id", "n_tokens", F.size("buckets").alias("most"), F.size(F.filter("buckets", lambda x: x <= F.col("cut"))).alias("repeats"))
+        self.counts = self._evened(drawn, goal).where("repeats > 0").drop("most")
         each = self.counts.select("mix_name", "doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
         place = F.xxhash64(F.lit(seed + 1), "mix_name", "doc_id", "copy")
         self.selection = each.withColumn("place", place).repartitionByRange("mix_name", "place", "doc_id").sortWithinPartitions("mix_name", "place", "doc_id")
 
+    @staticmethod
+    def _evened(drawn: DataFrame, goal: DataFrame) -> DataFrame:
+        """The draws after ``ROUNDS`` single uses more or less of a source, each only where it brings the source nearer to its goal."""
+        goal = materialize(goal, "goals")
+        for _ in range(ROUNDS):
+            drawn = materialize(drawn, "drawn")
+            missing = goal.join(drawn.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("got")), ["mix_name", "source"]).select("mix_name", "source", (F.col("goal") - F.col("got")).alias("missing"))
+            steps = F.array(F.when(F.col("repeats") < F.col("most"), F.lit(1)), F.when(F.col("repeats") > 0, F.lit(-1)))
+            moves = drawn.join(missing, ["mix_name", "source"]).select("mix_name", "source", "doc_id", "n_tokens", "missing", F.explode(F.array_compact(steps)).alias("step"))
+            left = F.abs(F.col("missing") - F.col("step") * F.col("n_tokens"))
+            best = moves.groupBy("mix_name", "source").agg(F.min(F.struct(left.alias("left"), "doc_id", "step")).alias("b"), F.first("missing").alias("missing")).where(F.col("b.left") < F.abs("missing"))
+            best = best.select("mix_name", "source", F.col("b.doc_id").alias("move_id"), F.col("b.step").alias("step"))
+            moved = F.when((F.col("doc_id") == F.col("move_id")), F.col("step")).otherwise(F.lit(0))
+            drawn = drawn.join(best, ["mix_name", "source"], "left").select("mix_name", "source", "doc_id", "n_tokens", "most", (F.col("repeats") + moved).alias("repeats"))
+        return materialize(drawn, "drawn")
+
     @property
     def shares(self) -> DataFrame:
         """mix_name, source, target_share, max_repeats, documents, tokens, actual_share, most_repeats for every target row."""
