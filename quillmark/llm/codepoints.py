@@ -104,7 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
+@lru_cache(32)
 def _powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
     inv = pow(base, -1, 1 << 64)
     out = []

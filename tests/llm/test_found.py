@@ -1,6 +1,7 @@
 """Each operator against a plain reading of its definition, on the smallest tables and on built cases."""
 
 import collections
+import time
 import unicodedata
 
 import duckdb
@@ -252,9 +253,41 @@ def test_reordered_passages_and_edges(spark, monkeypatch):
     assert five[(1, 2)] == pytest.approx(12 / 30)
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by its definition."""
+    fd, fi, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and fd[i + n] and fi[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n >= least and n > best[2]:
+                    best = (i, j, n)
+        if not best[2]:
+            return out
+        i, j, n = best
+        fd[i : i + n], fi[j : j + n] = [False] * n, [False] * n
+        out.append(best)
+
+
 def test_tiles_take_the_longest_match_first():
     doc, item = list("abcxyzabcd"), list("abcd..xyz")
     assert leaks.tile(doc, item, 3) == [(6, 0, 4), (3, 6, 3)]
+    rng = np.random.default_rng(3)
+    for letters, least in ((2, 2), (3, 2), (5, 3), (1, 4)):
+        for _ in range(15):
+            a, b = ([str(x) for x in rng.integers(0, letters, n)] for n in rng.integers(0, 40, 2))
+            assert leaks.tile(a, b, least) == plain_tiles(a, b, least)
+
+
+def test_tiling_of_repeated_words_is_fast():
+    began = time.time()
+    assert len(leaks.tile(["0"] * 30_000, ["0"] * 400, 13)) == 1
+    mixed = (["a", "b", "b"] * 10_000, ["a", "b", "b", "b", "a"] * 80)
+    leaks.tile(*mixed, 2)
+    assert time.time() - began < 4
 
 
 # problem 8 ----------------------------------------------------------------------------------------
