@@ -9,16 +9,16 @@ whole batch at once.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.codepoints import N_CODES, category_table, code_points, pieces, rows_of, spans, to_strings, word_table
-from quillmark.operators.skew import digest, salted_join, semi_join_checked
+from quillmark.operators.skew import attach_group, digest, salted_join, semi_join_checked
 from quillmark.operators.storage import materialize
 
 # Characters without width.
@@ -27,7 +27,26 @@ WIDTHLESS = (0x00AD, 0x034F, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2
 CYRILLIC_LATIN = ("аеорсухіѕјһԁԛԝүАВЕЗКМНОРСТУХІЅЈҺԚԜҮ", "aeopcyxisjhdqwyABE3KMHOPCTYXISJHQWY")
 GREEK_LATIN = ("οναιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovaipukABEZHIKMNOPTYX")
 GREEK_CYRILLIC = ("οαρΑΒΕΗΚΜΟΡΤΧΓΠΦ", "оарАВЕНКМОРТХГПФ")
-LATIN, GREEK, CYRILLIC = 1, 2, 3
+LATIN, GREEK, CYRILLIC, ARMENIAN, CHEROKEE, COPTIC, LISU = range(1, 8)
+NAMES = {"LATIN": LATIN, "GREEK": GREEK, "CYRILLIC": CYRILLIC, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "COPTIC": COPTIC, "LISU": LISU}
+# Where the letters of the further scripts are; which of them look alike is asked of the Unicode confusables.
+FURTHER = ((0x531, 0x588), (0x13A0, 0x13FE), (0x2C80, 0x2CE5), (0xA4D0, 0xA4F8), (0xAB70, 0xABC0))
+Extra = tuple[tuple[int, str], ...]
+
+
+@lru_cache(1)
+def confusables(spark: SparkSession) -> Extra:
+    """(code point, skeleton) of the letters of the further scripts and of basic Latin, Greek and Cyrillic that the Unicode confusables (in the ICU library of Spark) map to one character."""
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    basic = ((0x41, 0x5B), (0x61, 0x7B), (0x386, 0x3CF), (0x400, 0x460))
+    out = []
+    for a, z in (*basic, *FURTHER):
+        for c in range(a, z):
+            if unicodedata.category(chr(c))[0] == "L":
+                skeleton = checker.getSkeleton(chr(c))
+                if len(skeleton) == 1:
+                    out.append((c, skeleton))
+    return tuple(out)
 
 
 @lru_cache(None)
@@ -37,6 +56,10 @@ def _single() -> np.ndarray:
     t[0xFF01:0xFF5F] = np.arange(0x21, 0x7F)
     for wide, plain in zip(range(0xFFE0, 0xFFE7), (0xA2, 0xA3, 0xAC, 0xAF, 0xA6, 0xA5, 0x20A9)):
         t[wide] = plain
+    for c in range(0xFF61, 0xFFDD):  # half-width Katakana and Hangul; the voiced marks compose with what they follow
+        plain = unicodedata.normalize("NFKC", chr(c))
+        if len(plain) == 1:
+            t[c] = ord(plain)
     for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000):
         t[c] = 0x20
     return t
@@ -91,18 +114,14 @@ def _composite(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == k, out[at], 0).astype(np.uint32)
 
 
-@lru_cache(None)
-def _scripts() -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Script of each letter (0: none of the three) and, for each script, the look-alike of a foreign letter (0: none)."""
+@lru_cache(4)
+def _scripts(extra: Extra = ()) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Script of each letter (0: none of those known) and, for each script, the look-alike of a foreign letter (0: none)."""
     script = np.zeros(N_CODES, np.uint8)
-    for c in range(0x41, 0x1F00):
-        name = unicodedata.name(chr(c), "")
+    for c in [*range(0x41, 0x1F00), *range(0xA720, 0xA800), *(x for a, z in FURTHER for x in range(a, z))]:
         if unicodedata.category(chr(c))[0] == "L":
-            script[c] = LATIN if name.startswith("LATIN") else GREEK if name.startswith("GREEK") else CYRILLIC if name.startswith("CYRILLIC") else 0
-    for c in [*range(0x1E00, 0x1F00), *range(0xA720, 0xA800)]:
-        if unicodedata.name(chr(c), "").startswith("LATIN"):
-            script[c] = LATIN
-    to = {s: np.zeros(N_CODES, np.uint32) for s in (LATIN, GREEK, CYRILLIC)}
+            script[c] = NAMES.get(unicodedata.name(chr(c), "").split(" ")[0], 0)
+    to = {s: np.zeros(N_CODES, np.uint32) for s in NAMES.values()}
     for (a, b), sa, sb in ((CYRILLIC_LATIN, CYRILLIC, LATIN), (GREEK_LATIN, GREEK, LATIN), (GREEK_CYRILLIC, GREEK, CYRILLIC)):
         for x, y in zip(a, b):
             if y.isalpha():
@@ -110,13 +129,23 @@ def _scripts() -> tuple[np.ndarray, dict[int, np.ndarray]]:
                 basic = 0x386 <= ord(x) <= 0x3CE or 0x410 <= ord(x) <= 0x44F  # rarer letters are never a word's own
                 if basic and not to[sa][ord(y)]:
                     to[sa][ord(y)] = ord(x)
+    alike: dict[str, list[int]] = {}
+    for c, skeleton in extra:
+        alike.setdefault(skeleton, []).append(c)
+    for group in alike.values():
+        for x in group:
+            for y in group:
+                sx, sy = script[x], script[y]
+                # pairs of the first three scripts are stated above
+                if sx and sy and sx != sy and max(sx, sy) >= ARMENIAN and not to[sy][x]:
+                    to[sy][x] = y
     return script, to
 
 
 @lru_cache(None)
 def _touched() -> np.ndarray:
     """Characters whose presence can change a row."""
-    script, to = _scripts()
+    script, _ = _scripts()
     length, start, flat = _decompositions()
     t = (_single() != np.arange(N_CODES)) | (_classes() > 0) | _pairs()[2] | (script >= GREEK)
     t[list(WIDTHLESS)] = True
@@ -174,43 +203,64 @@ def _expand(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def _own_script(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _own_script(cps: np.ndarray, off: np.ndarray, extra: Extra = ()) -> np.ndarray:
     """Foreign look-alike letters replaced by the letters of their word's own script.
 
     The own script is one into which all foreign letters of the word can be moved; where several
-    qualify, the script with most letters in the row that have no look-alike there, then in the word.
+    qualify, the script with most letters in the row that have no look-alike in the others, then in the word.
+    A word whose own letters aren't in the majority moves only where other words of the row speak for
+    that script, and none with fewer than two such letters of its own moves against the row's
+    prevailing script (a capital delta before a Latin T stays). Small Greek letters among Latin
+    capitals only are symbols and stay, as in names of proteins and units.
     """
-    script_of, to = _scripts()
+    script_of, to = _scripts(extra)
     script = script_of[cps]
     if not (script >= GREEK).any():
         return cps
+    present = [k for k in NAMES.values() if (script == k).any()]
     s, e = spans(word_table()[cps] | (cps == 0x27) | (cps == 0x2019), off)  # an apostrophe doesn't end a word here
-    total = {k: np.concatenate([[0], np.cumsum(script == k)]) for k in (LATIN, GREEK, CYRILLIC)}
+    running = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    total = {k: running(script == k) for k in present}
     count = {k: v[e] - v[s] for k, v in total.items()}
     mixed = np.flatnonzero(sum((c > 0).astype(int) for c in count.values()) > 1)
     if not len(mixed):
         return cps
     s, e = s[mixed], e[mixed]
     row = rows_of(s, off)
-    score = np.full((4, len(mixed)), -1.0)
-    for k in (LATIN, GREEK, CYRILLIC):
+    letters = sum(count[k][mixed] for k in present)
+    in_row, in_word = {}, {}  # letters of k that have no look-alike in o
+    for k in present:
+        for o in present:
+            if o != k:
+                sure = running((script == k) & (to[o][cps] == 0))
+                in_row[k, o], in_word[k, o] = (sure[off[1:]] - sure[off[:-1]])[row], sure[e] - sure[s]
+    upper = category_table("", ("Lu",))
+    small_greek = running((script == GREEK) & ~upper[cps])
+    small_latin = running((script == LATIN) & ~upper[cps])
+    symbol = (small_greek[e] > small_greek[s]) & (small_latin[e] == small_latin[s])
+    score = np.full((max(NAMES.values()) + 1, len(mixed)), -1.0)
+    for k in present:
         foreign = (script > 0) & (script != k)
-        stuck = np.concatenate([[0], np.cumsum(foreign & (to[k][cps] == 0))])
-        movable = np.zeros(len(cps), bool)
-        for other in (LATIN, GREEK, CYRILLIC):
-            if other != k:
-                movable |= to[other][cps] > 0
-        sure = np.concatenate([[0], np.cumsum((script == k) & ~movable)])
-        in_row = (sure[off[1:]] - sure[off[:-1]])[row]
+        stuck = running(foreign & (to[k][cps] == 0))
         own = count[k][mixed]
-        score[k] = np.where((stuck[e] == stuck[s]) & (own > 0), in_row + own / 1e6, -1.0)
+        ok = (stuck[e] == stuck[s]) & (own > 0)
+        most = np.full(len(mixed), np.inf)
+        for o in present:
+            if o != k:
+                here = count[o][mixed] > 0
+                ok &= ~here | (2 * own > letters) | (in_row[k, o] > in_word[k, o])
+                ok &= ~here | (in_word[k, o] >= 2) | (in_row[k, o] >= in_row[o, k])
+                most = np.where(here, np.minimum(most, in_row[k, o]), most)
+        if k == LATIN:
+            ok &= ~symbol
+        score[k] = np.where(ok, most + own / 1e6, -1.0)
     best = score.argmax(0)
     best[score.max(0) < 0] = 0
     out = cps.copy()
     size = e - s
     idx = np.repeat(s, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     target = np.repeat(best, size)
-    for k in (LATIN, GREEK, CYRILLIC):
+    for k in present:
         here = idx[(target == k)]
         here = here[(script[here] > 0) & (script[here] != k)]
         out[here] = to[k][cps[here]]
@@ -262,8 +312,8 @@ def _compose(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cps[keep], before[off]
 
 
-def consistent(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
-    """The consistent form of every row; nulls stay null."""
+def consistent(column: pa.Array | pa.ChunkedArray, extra: Extra = ()) -> pa.LargeStringArray:
+    """The consistent form of every row; nulls stay null. ``extra``: ``confusables``."""
     valid = np.asarray(column.is_valid())
     cps, off = code_points(column)
     hit = np.concatenate([[0], np.cumsum(_touched()[cps])])
@@ -276,7 +326,7 @@ def consistent(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     part = _single()[part]
     part, at = _drop_widthless(part, at)
     part, at = _expand(part, at)
-    part = _own_script(part, at)
+    part = _own_script(part, at, extra)
     part, at = _compose(part, at)
     # put the rows back in place
     length = np.diff(off)
@@ -289,10 +339,13 @@ def consistent(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     return to_strings(out, new, valid)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (x for b in batches for x in pieces(b)):
-        form = consistent(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), form.cast(pa.string())], names=["doc_id", "stored", "form"])
+def _run(extra: Extra) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b)):
+            form = consistent(batch.column(1), extra)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), form.cast(pa.string())], names=["doc_id", "stored", "form"])
+
+    return run
 
 
 def consistent_form(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") -> DataFrame:
@@ -301,7 +354,27 @@ def consistent_form(docs: DataFrame, doc_id: str = "doc_id", data: str = "data")
     Null texts stay null and empty ones empty; every row comes out once, repeated rows too; whole
     texts are converted; an empty table gives an empty result.
     """
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(data).alias("stored")).mapInArrow(_run, "doc_id long, stored string, form string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(data).alias("stored")).mapInArrow(_run(confusables(docs.sparkSession)), "doc_id long, stored string, form string")
+
+
+def _alike(docs: DataFrame, doc_id: str, data: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, forms): doc_id, form, spelling of the rows whose form has two spellings or more; these forms with n, kinds and the smallest doc_id."""
+    base = consistent_form(docs, doc_id, data).where(F.col("stored").rlike(r"[\p{L}\p{N}]"))
+    keyed = materialize(base.select("doc_id", digest(F.col("form")).alias("form"), digest(F.col("stored")).alias("spelling")), "forms")
+    spellings = keyed.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("low"))
+    forms = spellings.groupBy("form").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("low").alias("low")).where("kinds > 1")
+    forms = materialize(forms, "alike")
+    return materialize(semi_join_checked(keyed, forms.select("form", "n"), "form", "doc_id"), "members"), forms
+
+
+def alike_classes(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") -> DataFrame:
+    """doc_id, class_id, members, spellings: one row for each row that ``alike_pairs`` links, with the smallest doc_id of its class.
+
+    Its size is that of the rows, however large a class is.
+    """
+    rows, forms = _alike(docs, doc_id, data)
+    met = attach_group(rows.select("form", "doc_id"), forms, "form", "doc_id")
+    return met.select("doc_id", F.col("low").alias("class_id"), F.col("n").alias("members"), F.col("kinds").alias("spellings"))
 
 
 def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") -> DataFrame:
@@ -310,11 +383,7 @@ def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") ->
     Rows are first reduced to (form, spelling) classes. Only forms with two spellings or more go on;
     of these, a row meets the rows of its form's other spellings, in chunks of every form with many rows.
     """
-    base = consistent_form(docs, doc_id, data).where(F.col("stored").rlike(r"[\p{L}\p{N}]"))
-    keyed = materialize(base.select("doc_id", digest(F.col("form")).alias("form"), digest(F.col("stored")).alias("spelling")), "forms")
-    spellings = keyed.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("c"))
-    forms = materialize(spellings.groupBy("form").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "alike")
-    rows = materialize(semi_join_checked(keyed, forms, "form", "doc_id"), "members")
+    rows, _ = _alike(docs, doc_id, data)
     a = rows.select("form", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("sa"))
     b = rows.select("form", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("sb"))
     return salted_join(a, b, "form", "doc_id_a", chunk=1000).where("doc_id_a < doc_id_b AND sa <> sb").select("doc_id_a", "doc_id_b")

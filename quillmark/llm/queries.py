@@ -50,6 +50,10 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
     return lookalikes.alike_pairs(table(s, d, "docs"))
 
 
+def p6_classes(s: SparkSession, d: str) -> DataFrame:
+    return lookalikes.alike_classes(table(s, d, "docs"))
+
+
 def p6_consistent(s: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_form(table(s, d, "docs")).select("doc_id", "form")
 
@@ -80,7 +84,7 @@ def p9_restored(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_term_frequency, p2_found, p2_overlap_report, p3_found, p3_copies, p4_found, p4_search, p6_found, p6_consistent, p7_found, p7_coverage, p8_mixture, p8_shares, p9_found, p9_restored]
+    found = [p1_found, p1_term_frequency, p2_found, p2_overlap_report, p3_found, p3_copies, p4_found, p4_search, p6_found, p6_classes, p6_consistent, p7_found, p7_coverage, p8_mixture, p8_shares, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 

@@ -227,6 +227,27 @@ def test_alike_pairs(spark):
     assert lookalikes.alike_pairs(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [
+        ("ցood Ꭺpple in plain text", "good Apple in plain text"), ("ｶﾞｷ", "ガキ"), ("the αB-crystallin gene", None), ("the ΔT of the ΔT", None), ("ΔT", None), ("αB", None), ("μM of Ca", None),
+        ("oզ Հայաստան օր", "օզ Հայաստան օր"), ("оf the Τhe", "of the The"), ("хороший тeкст", "хороший текст"), ("Հայաստան", None), ("pɑypal", None),
+    ],
+)
+def test_look_alikes_of_further_scripts_and_symbols(spark, text, form):
+    extra = lookalikes.confusables(spark)
+    assert lookalikes.consistent(pa.array([text]), extra).to_pylist() == [form or text]
+    assert lookalikes.consistent(pa.array(["Հայ Ꭺ тeкст", text]), extra).to_pylist()[1] == (form or text)  # whatever else is in the batch
+
+
+def test_alike_classes(spark, small):
+    pairs = queries.p6_found(spark, small).collect()
+    got = {r.doc_id: r for r in queries.p6_classes(spark, small).collect()}
+    assert set(got) == {x for r in pairs for x in (r.doc_id_a, r.doc_id_b)}
+    assert all(got[r.doc_id_a].class_id == got[r.doc_id_b].class_id for r in pairs)
+    assert all(r.class_id <= r.doc_id and r.spellings > 1 for r in got.values())
+
+
 # problem 7 ----------------------------------------------------------------------------------------
 def test_leaks(spark, small):
     def runs(t):
