@@ -43,7 +43,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p4_search(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "doc_topics")
-    return neighbours.search(t, t.where(F.col("doc_id") % 50 == 0), beam=256, width=64, steps=8)
+    return neighbours.search(t, t.where(F.col("doc_id") % 50 == 0))
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
