@@ -28,7 +28,7 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack(bucket: np.ndarray, kind: int, **cols: np.ndarray) -> pa.RecordBatch:
-    """Blocks of one batch; ``v`` is a two-dimensional array of int8 or float64."""
+    """Blocks of one batch; ``v`` is a two-dimensional array of int16 or float64."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
@@ -53,7 +53,7 @@ def _joined(parts: list[dict[str, bytes]], code: np.dtype, dim: int) -> Entries:
     return out
 
 
-def by_bucket(blocks: DataFrame, buckets: int, work: Callable[[dict[int, Entries]], Iterator[pa.RecordBatch]], schema: str, dim: int, code: str = "int8") -> DataFrame:
+def by_bucket(blocks: DataFrame, buckets: int, work: Callable[[dict[int, Entries]], Iterator[pa.RecordBatch]], schema: str, dim: int, code: str = "int16") -> DataFrame:
     """``work`` on the entries of each bucket, by kind; a bucket is held in memory, so their number must follow the size of the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

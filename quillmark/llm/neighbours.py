@@ -1,6 +1,6 @@
 """Problem 4: the most similar vectors for every vector, by NN-descent over Spark joins.
 
-Equal vectors are one node. Inside the graph a node is a code of one byte for each dimension; the best
+Equal vectors are one node. Inside the graph a node is a code of two bytes for each dimension; the best
 edges are rescored with the doubles at the end. The graph starts from windows of consecutive nodes in
 the leaf order of ``TREES`` trees, fitted on a sample of at most ``SAMPLE`` nodes and applied to all,
 and is improved in rounds: every node brings its neighbours and reverse neighbours together, pairs of
@@ -32,7 +32,7 @@ K, REVERSE, TREES, WINDOW, KEEP, ROUNDS, STOP, SEED = 16, 16, 12, 2048, 10, 6, 0
 SAMPLE = 20_000
 #: Different vector lengths that one table may hold; each is a graph of its own.
 MOST_LENGTHS = 32
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 24 << 20
 EDGE = "src long, dst long, sim float, new boolean"
 EMPTY = "id long, neighbour long, sim double, rank int"
 
@@ -44,7 +44,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _codes(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dim)
 
 
 def _unit32(code: np.ndarray) -> np.ndarray:
@@ -64,12 +64,12 @@ def usable(vector: str) -> Column:
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length one, and their codes: a byte for each dimension, the largest at 127."""
+    """Vectors of length one, and their codes: two bytes for each dimension, the largest at 32767."""
     for b in batches:
         if b.num_rows:
             m = _matrix(b.column(1))
             m = m / np.abs(m).max(1, keepdims=True)
-            code = np.rint(m * 127).astype(np.int8)
+            code = np.rint(m * 32767).astype(np.int16)
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(m / np.linalg.norm(m, axis=1, keepdims=True)), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "vec", "code"])
 
 
@@ -170,7 +170,7 @@ class Tree:
 def _forest(v: Vectors) -> tuple[list[Tree], list[np.ndarray], list[int]]:
     """Trees, the bucket of each tree's leaves (runs of leaves of about eight windows by the sample), and the first bucket of each tree."""
     sample = v.nodes.select("id", "code").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").toPandas()["code"]
-    m = _unit32(np.frombuffer(b"".join(bytes(x) for x in sample), np.int8).reshape(-1, v.dim))
+    m = _unit32(np.frombuffer(b"".join(bytes(x) for x in sample), np.int16).reshape(-1, v.dim))
     share = len(m) / max(v.count, 1)
     trees = [Tree(m, max(8, int(WINDOW * share / 4)), SEED + t) for t in range(TREES)]
     of_leaf, first, n = [], [], 0
@@ -200,14 +200,18 @@ def _route(shared, dim: int, kind: int) -> Callable:
 
 
 def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of at least the k best of each row, few more: the k-th best of the maxima of groups of eight is a bound."""
+    """(row, column) of at least the k best of each row, few more: the k-th best of the maxima of eighths, taken side by side, is a bound."""
     n = s.shape[1]
     if n <= 8 * k:
         bound = np.full(len(s), -1.5, np.float32) if n <= k else np.partition(s, n - k, axis=1)[:, n - k]
     else:
-        groups = s[:, : n - n % 8].reshape(len(s), -1, 8).max(2)
-        bound = np.partition(groups, groups.shape[1] - k, axis=1)[:, groups.shape[1] - k]
-    return np.nonzero(s >= np.maximum(bound, -1.5)[:, None])
+        w = n // 8
+        best = s[:, :w].copy()
+        for g in range(1, 8):
+            np.maximum(best, s[:, g * w : (g + 1) * w], out=best)
+        bound = np.partition(best, w - k, axis=1)[:, w - k]
+    hit = np.flatnonzero(s >= np.maximum(bound, np.float32(-1.5))[:, None])
+    return hit // n, hit % n
 
 
 def _in_windows(e: dict[int, Entries], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -312,11 +316,11 @@ def _answer(e: dict[int, Entries], k: int, buckets: int) -> Iterator[pa.RecordBa
         np.minimum.at(worst, at, e[2]["s"])
         np.add.at(count, at, 1)
     floor = np.where(count >= k, worst, np.float32(-2))
-    step = 400_000
+    step = 200_000
     for a in range(0, len(asks["x"]), step):
         at = np.searchsorted(ids, asks["x"][a : a + step])
-        # the floor travels with the code, as two bytes of a fixed-point number, rounded down
-        fixed = np.floor(np.clip(floor[at], -2, 2) * 16000).astype(np.int16).view(np.int8).reshape(-1, 2)
+        # the floor travels with the code, as a fixed-point number, rounded down
+        fixed = np.floor(np.clip(floor[at], -2, 2) * 16000).astype(np.int16)[:, None]
         centre = asks["y"][a : a + step]
         yield pack(bucket_of(centre, buckets), 0, x=centre, y=asks["x"][a : a + step], s=asks["s"][a : a + step], f=asks["f"][a : a + step], v=np.concatenate([code[at], fixed], 1))
 
@@ -335,7 +339,7 @@ def _local_join(e: dict[int, Entries], k: int, dim: int, buckets: int) -> Iterat
     order = order[(reverse == 0) | (rank < REVERSE)]
     c, m, new = x["x"][order], x["y"][order], (x["f"][order] & 1).astype(bool)
     vec = _unit32(x["v"][order][:, :dim])
-    floor = np.ascontiguousarray(x["v"][order][:, dim:]).view(np.int16)[:, 0].astype(np.float32) / 16000
+    floor = x["v"][order][:, dim].astype(np.float32) / 16000
     first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     size = np.diff(np.append(first, len(c)))
     fresh = np.add.reduceat(new.astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
@@ -360,7 +364,7 @@ def _local_join(e: dict[int, Entries], k: int, dim: int, buckets: int) -> Iterat
             p, y, z = np.nonzero(ok)
             held.append((m[i][p, y], m[i][p, z], s[p, y, z]))
             n_held += len(p)
-            if n_held > 4_000_000:
+            if n_held > 2_000_000:
                 yield flush()
     if n_held:
         yield flush()
@@ -376,11 +380,11 @@ def graph(v: Vectors, k: int = K, rounds: int = ROUNDS) -> tuple[Stored, object]
     routed = coded.mapInArrow(_route(shared, dim, 0), SCHEMA)
     found = by_bucket(routed, shared.value[2][-1], partial(_in_windows, k=KEEP, buckets=b_edges), SCHEMA, dim)
     edges = store(by_bucket(found, b_edges, partial(_merge, k=k), EDGE, dim), "edges")
-    b_ask, b_wide = v.buckets(2 * k, 37), v.buckets(2 * k, dim + 23)
+    b_ask, b_wide = v.buckets(2 * k, 37), v.buckets(2 * k, 2 * dim + 23)
     for _ in range(rounds):
         asks = edges.df.mapInArrow(_asks(b_ask), SCHEMA).unionAll(coded.mapInArrow(_as_blocks(dim, b_ask), SCHEMA))
         wide = by_bucket(asks, b_ask, partial(_answer, k=k, buckets=b_wide), SCHEMA, dim)
-        better = by_bucket(wide, b_wide, partial(_local_join, k=KEEP, dim=dim, buckets=b_edges), SCHEMA, dim + 2)
+        better = by_bucket(wide, b_wide, partial(_local_join, k=KEEP, dim=dim, buckets=b_edges), SCHEMA, dim + 1)
         both = edges.df.mapInArrow(_known(b_edges), SCHEMA).unionAll(better)
         after = store(by_bucket(both, b_edges, partial(_merge, k=k), EDGE, dim), "edges")
         changed = after.df.where("new").count()
