@@ -4,8 +4,11 @@ Characters are mapped back to the bytes of a legacy encoding; an automaton over
 the maximal well-formed UTF-8 multibyte sequences, which alone are decoded. Lead and continuation
 bytes are disjoint, so the automaton's runs are found for a whole batch by comparing shifted arrays.
 Correct text can hold such a sequence by chance (a capital with an accent before a closing quote),
-so a sequence counts only where what it decodes to fits its neighbours. Text of a single-byte
-alphabet read as Latin has no multibyte sequence; it is known by words made of high letters only.
+so a sequence counts only where what it decodes to fits its neighbours.
+
+Text of one single-byte alphabet read as another has no multibyte sequence, so no automaton can see it.
+It counts only on positive evidence: the letters and the case of its words must be far likelier under
+the other alphabet than as they stand, by letter frequencies.
 """
 
 from __future__ import annotations
@@ -26,15 +29,27 @@ LEGACY = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866")
 ALPHABETS = ("cp1251", "koi8_r", "iso8859_5", "cp866", "iso8859_7", "cp1253")
 # Cyrillic alphabets that are mistaken for each other, as (read as, written in).
 SWAPS = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "iso8859_5"), ("iso8859_5", "cp1251"), ("iso8859_5", "koi8_r"), ("koi8_r", "iso8859_5"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"))
-# The ten most frequent letters of Russian, which make up about two thirds of any text.
-COMMON_CYRILLIC = "оеаинтсрвл"
-# The most frequent letters of Russian and Greek, by which an alphabet is chosen.
-FREQUENT = "оеаинтсрвлкмдпуяαοιετσνηυρπκμλς"
+# Letter frequencies in per mille of running text, from public counts: Russian, Greek, and
+# the accented letters of Western European text among each other.
+RUSSIAN = {
+    "о": 109.7, "е": 84.5, "а": 80.1, "и": 73.5, "н": 67.0, "т": 62.6, "с": 54.7, "р": 47.3, "в": 45.4, "л": 44.0, "к": 34.9, "м": 32.1, "д": 29.8, "п": 28.1, "у": 26.2, "я": 20.1, "ы": 19.0,
+    "ь": 17.4, "г": 17.0, "з": 16.5, "б": 15.9, "ч": 14.4, "й": 12.1, "х": 9.7, "ж": 9.4, "ш": 7.3, "ю": 6.4, "ц": 4.8, "щ": 3.6, "э": 3.2, "ф": 2.6, "ё": 2.0, "ъ": 0.4,
+}
+GREEK = {
+    "α": 105, "ο": 85, "τ": 85, "ι": 72, "ε": 68, "ν": 65, "σ": 45, "η": 45, "ρ": 42, "π": 41, "κ": 41, "υ": 40, "ς": 35, "μ": 34, "λ": 28, "ω": 17, "γ": 17, "δ": 17, "θ": 12, "χ": 12, "φ": 9,
+    "β": 7, "ξ": 5, "ζ": 4, "ψ": 2, "ί": 25, "ά": 22, "ό": 22, "έ": 18, "ή": 16, "ύ": 12, "ώ": 8, "ϊ": 1, "ΐ": 0.5, "ϋ": 0.5,
+}
+WESTERN = {
+    "é": 180, "ä": 90, "ü": 90, "à": 75, "á": 70, "è": 65, "ó": 60, "ö": 60, "í": 60, "ç": 45, "ã": 45, "ß": 40, "å": 40, "ñ": 30, "ê": 30, "ø": 25, "ú": 20, "æ": 12, "õ": 10, "ô": 10, "â": 10,
+    "ý": 8, "î": 8, "ò": 8, "ì": 8, "ù": 8, "û": 6, "ë": 6, "ï": 4, "ð": 3, "þ": 2, "ÿ": 1,
+}
+#: Log odds that a stretch needs to count as another alphabet, and the weights of a word's letter case.
+ODDS_CYRILLIC, ODDS_LATIN = 20.0, 14.0
+REGULAR, CAPITALS, IRREGULAR = np.log(0.9), np.log(0.1), np.log(0.001)
 # Marks that may follow a capital in correct text.
 CLOSERS = "’”»›…–—•‘“ "
 # Letters beyond Latin-1 that Western texts use.
 EXTENDED = "ŒœŠšŽžŸĄąĆćČčĎďĘęĚěĞğİıŁłŃńŇňŐőŘřŚśŞşŤťŮůŰűŹźŻż"
-ROUNDS = 3
 _TOP = 0x10000
 
 
@@ -199,78 +214,144 @@ def _multibyte(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[order], length[order], d[order], r[order], e[order]
 
 
-def _high_words(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words of three and more letters that all lie in U+00C0 to U+00FF."""
-    high = ((cps >= 0xC0) & (cps <= 0xFF)) | (cps == 0xB8) | (cps == 0xA8)
-    if not high.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letter = category_table("L")
-    s, e = spans(high | letter[cps], off)
-    many = np.concatenate([[0], np.cumsum(high)])
-    ok = (e - s >= 3) & (many[e] - many[s] == e - s)
-    return s[ok], e[ok]
+def _log_odds(freq: dict[str, float], rare: float = 0.02) -> np.ndarray:
+    """Log frequency of every code point under _TOP, capitals as their small letters, others as ``rare`` per mille."""
+    t = np.full(_TOP, np.log(rare / 1000))
+    for c, f in freq.items():
+        for x in (c, c.upper()):
+            if len(x) == 1:
+                t[ord(x)] = np.log(f / 1000)
+    return t
 
 
-def _alphabet(cps: np.ndarray) -> tuple[str, np.ndarray]:
-    """The single-byte alphabet under which the high characters read best, and the text under it."""
-    t = byte_table("cp1252")
-    b = np.where(cps < _TOP, t[_low(cps)], 0)
-    best = ("", cps, -1.0)
-    for name in ALPHABETS:
-        m = np.array([ord(bytes([x]).decode(name, "replace")) for x in range(256)], np.uint32)
-        got = np.where(b > 0, m[b], cps)
-        new = got[b > 0]
-        score = float(np.isin(new, [ord(x) for x in FREQUENT]).mean() - 2 * (new == 0xFFFD).mean()) if len(new) else -1.0
-        if score > best[2]:
-            best = (name, got, score)
-    return best[0], best[1]
+@lru_cache(None)
+def _readings(kind: str) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(alphabet, map, gain, is capital) of each other reading of a character: the map of code points, the log odds that it gains, and its case."""
+    upper = _classes()["upper"]
+    russian, greek, western = _log_odds(RUSSIAN), _log_odds(GREEK), _log_odds(WESTERN, 1.0)
+    out = []
+    for read, true in SWAPS if kind == "cyrillic" else [("cp1252", x) for x in ALPHABETS]:
+        m = np.arange(_TOP, dtype=np.uint32)
+        gain = np.full(_TOP, -8.0)
+        t = byte_table(read)
+        for c in np.flatnonzero(t).tolist():
+            x = bytes([t[c]]).decode(true, "replace")
+            m[c] = ord(x)
+            if x != "\ufffd":
+                now = russian[c] if kind == "cyrillic" else western[c]
+                gain[c] = (greek if true in ("iso8859_7", "cp1253") else russian)[ord(x)] - now
+        out.append((true, m, gain, upper[_low(m)]))
+    return out
+
+
+def _case(n: np.ndarray, capitals: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weight of the case of words with n letters: small or with one capital in front, capitals only, or neither."""
+    regular = (capitals == 0) | ((capitals == 1) & first)
+    return np.where(regular, REGULAR, np.where(capitals == n, CAPITALS, IRREGULAR))
+
+
+def _word_odds(cps: np.ndarray, s: np.ndarray, e: np.ndarray, reading: tuple, own_case: bool) -> np.ndarray:
+    """Log odds of each word cps[s:e] for another reading against the one it has."""
+    _, _, gain, capital = reading
+    lo = _low(cps)
+    total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[e] - c[s]
+    n = e - s
+    odds = total(gain[lo]) + _case(n, total(capital[lo]), capital[lo[s]])
+    if own_case:
+        upper = _classes()["upper"]
+        odds -= _case(n, total(upper[lo]), upper[lo[s]])
+    return odds
+
+
+def _best_stretch(odds: np.ndarray) -> tuple[float, int, int]:
+    """The run of words with the highest sum: (sum, first, last + 1)."""
+    best, start, now = (0.0, 0, 0), 0, 0.0
+    for i, x in enumerate(odds.tolist()):
+        if now <= 0:
+            start, now = i, 0.0
+        now += x
+        if now > best[0]:
+            best = (now, start, i + 1)
+    return best
 
 
 def _swapped(cps: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, str, np.ndarray]]:
     """(row, start, end, alphabet, text) of stretches in which one Cyrillic alphabet was read as another.
 
-    Such an error turns small letters into capitals, so only words with a capital after their first
-    letter are judged: they must read clearly better under another alphabet, by the share of the
-    ten most frequent letters. Correct text in capitals reads best as it is.
+    A stretch is the run of words with the highest log odds for another alphabet; words that read well as
+    they are count against it, so abbreviations in correct text never make a stretch.
     """
     cyr = (cps >= 0x400) & (cps <= 0x4FF)
     if not cyr.any():
         return []
-    upper = _classes()["upper"]
     s, e = spans(cyr, off)
-    caps = np.concatenate([[0], np.cumsum(cyr & upper[_low(cps)])])
-    odd = (e - s >= 2) & (caps[e] - caps[np.minimum(s + 1, e)] > 0)
-    s, e = s[odd], e[odd]
     r = rows_of(s, off)
-    common = {ord(x) for x in COMMON_CYRILLIC} | {ord(x.upper()) for x in COMMON_CYRILLIC}
-    is_common = np.zeros(_TOP, bool)
-    is_common[list(common)] = True
+    best: dict[int, tuple[float, int, int, int]] = {}
+    for k, reading in enumerate(_readings("cyrillic")):
+        odds = _word_odds(cps, s, e, reading, True)
+        hope = np.bincount(r, np.maximum(odds, 0), minlength=len(off) - 1)
+        for i in np.flatnonzero(hope >= ODDS_CYRILLIC).tolist():
+            a, z = np.searchsorted(r, [i, i + 1])
+            gain, seen = odds[a:z].copy(), set()
+            for w in np.flatnonzero(gain > 0).tolist():  # a word that speaks for the other alphabet does so once
+                word = cps[s[a + w] : e[a + w]].tobytes()
+                gain[w] = 0.0 if word in seen else gain[w]
+                seen.add(word)
+            sum_, x, y = _best_stretch(gain)
+            if sum_ >= ODDS_CYRILLIC and sum_ > best.get(i, (0.0,))[0]:
+                while a + x > a and e[a + x - 1] - s[a + x - 1] == 1:  # one letter says nothing and goes with its neighbours
+                    x -= 1
+                while a + y < z and e[a + y] - s[a + y] == 1:
+                    y += 1
+                best[i] = (sum_, int(s[a + x]), int(e[a + y - 1]), k)
+    out = []
+    for i, (_, a, z, k) in sorted(best.items()):
+        while a > off[i] and cps[a - 1] > 0x7F and chr(cps[a - 1]).isalpha():
+            a -= 1
+        while z < off[i + 1] and cps[z] > 0x7F and chr(cps[z]).isalpha():
+            z += 1
+        name, m, _, _ = _readings("cyrillic")[k]
+        part = cps[a:z]
+        out.append((i, a, z, name, np.where(part < _TOP, m[_low(part)], part)))
+    return out
+
+
+def _as_latin(cps: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, str, np.ndarray, int]]:
+    """(row, start, end, alphabet, text, words) of stretches in which a Greek or Cyrillic alphabet was read as Latin.
+
+    Judged are the row's distinct words of three and more letters, all of them in U+00C0 to U+00FF: they
+    must be far likelier under the other alphabet, a letter beyond the third counting on top, as no
+    Latin word is made of accented letters only. Lists of accented letters stay as they are.
+    """
+    high = ((cps >= 0xC0) & (cps <= 0xFF)) | (cps == 0xB8) | (cps == 0xA8)
+    if not high.any():
+        return []
+    letter = category_table("L")
+    s, e = spans(high | letter[cps], off)
+    many = np.concatenate([[0], np.cumsum(high)])
+    ok = (e - s >= 3) & (many[e] - many[s] == e - s)
+    s, e = s[ok], e[ok]
+    if not len(s):
+        return []
+    r = rows_of(s, off)
+    odds = [_word_odds(cps, s, e, x, False) + 1.5 * (e - s - 3) for x in _readings("latin")]
     out = []
     for i in np.unique(r).tolist():
-        mine = r == i
-        idx = np.concatenate([np.arange(a, z) for a, z in zip(s[mine], e[mine])])
-        if len(idx) < 6:
+        a, z = np.searchsorted(r, [i, i + 1])
+        seen: dict[str, int] = {}
+        for w in range(a, z):
+            seen.setdefault(cps[s[w] : e[w]].tobytes().decode("utf-32-le").lower(), w)
+        once = list(seen.values())
+        sums = [float(x[once].sum()) for x in odds]
+        k = int(np.argmax(sums))
+        if sums[k] < ODDS_LATIN:
             continue
-        now = is_common[cps[idx]].mean()
-        best = (now + 0.2, "", None)
-        for read, true in SWAPS:
-            m = np.arange(_TOP, dtype=np.uint32)
-            for b in range(0x80, 0x100):
-                try:
-                    m[ord(bytes([b]).decode(read))] = ord(bytes([b]).decode(true))
-                except UnicodeDecodeError:
-                    pass
-            score = is_common[_low(m[cps[idx]])].mean()
-            if score > best[0]:
-                best = (score, true, m)
-        if best[2] is not None:
-            a, z = int(s[mine].min()), int(e[mine].max())
-            while a > off[i] and chr(cps[a - 1]).isalpha() and cps[a - 1] > 0x7F:
-                a -= 1
-            while z < off[i + 1] and cps[z] > 0x7F and chr(cps[z]).isalpha():
-                z += 1
-            part = cps[a:z]
-            out.append((i, a, z, best[1], np.where(part < _TOP, best[2][_low(part)], part)))
+        x, y = int(s[a]), int(e[z - 1])
+        while y < off[i + 1] and 0x80 <= cps[y] <= 0xFF:
+            y += 1
+        name, m, _, _ = _readings("latin")[k]
+        part = cps[x:y]
+        out.append((i, x, y, name, np.where(part < _TOP, m[_low(part)], part), int(z - a)))
     return out
 
 
@@ -278,11 +359,11 @@ def repair(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
     """(damaged, spans decoded, encoding, restored text) of each row; undamaged rows come back unchanged."""
     cps, off = code_points(column)
     n = len(off) - 1
-    row_of_bad = rows_of(np.flatnonzero((cps == 0xFFFD) | ((cps >= 0x80) & (cps <= 0x9F))), off)
+    control = (cps >= 0x80) & (cps <= 0x9F) & (cps != 0x85)  # U+0085 alone is a line break
     damaged, count = np.zeros(n, bool), np.zeros(n, np.int64)
-    damaged[row_of_bad] = True
+    damaged[rows_of(np.flatnonzero((cps == 0xFFFD) | control), off)] = True
     names: list[str | None] = [None] * n
-    for _ in range(ROUNDS):
+    while True:  # text may be damaged several times over, or by several encodings; each round makes it shorter
         s, length, d, r, e = _multibyte(cps, off)
         if not len(s):
             break
@@ -300,28 +381,20 @@ def repair(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
     for i, a, z, name, text in _swapped(cps, off):
         cps = cps.copy() if not cps.flags.writeable else cps
         cps[a:z] = text
-        damaged[i], names[i], count[i] = True, name, 1
-    s, e = _high_words(cps, off)
-    if len(s):
-        r = rows_of(s, off)
-        weight = np.bincount(r, np.where(e - s >= 5, 2, 1), minlength=n)
-        pieces, last = [], 0
-        for i in np.flatnonzero(weight >= 3).tolist():
-            a, z = s[r == i].min(), e[r == i].max()
-            while z < off[i + 1] and 0x80 <= cps[z] <= 0xFF:
-                z += 1
-            name, text = _alphabet(cps[a:z])
-            damaged[i], names[i], count[i] = True, names[i] or name, count[i] + int((r == i).sum())
-            pieces += [cps[last:a], text]
-            last = z
-        if pieces:
-            cps = np.concatenate([*pieces, cps[last:]]).astype(np.uint32)
+        damaged[i], names[i], count[i] = True, names[i] or name, count[i] + 1
+    for i, a, z, name, text, many in _as_latin(cps, off):
+        cps = cps.copy() if not cps.flags.writeable else cps
+        cps[a:z] = text
+        damaged[i], names[i], count[i] = True, names[i] or name, count[i] + many
     c1 = (cps >= 0x80) & (cps <= 0x9F)
     if c1.any():
         m = np.array([ord(bytes([x]).decode("cp1252", "ignore") or chr(x)) for x in range(0xA0)], np.uint32)
-        for i in np.unique(rows_of(np.flatnonzero(c1), off)).tolist():
+        at = np.flatnonzero(c1)
+        at = at[damaged[rows_of(at, off)]]
+        for i in np.unique(rows_of(at, off)).tolist():
             names[i] = names[i] or "cp1252"
-        cps = np.where(c1, m[np.where(c1, cps, 0)], cps)
+        cps = cps.copy()
+        cps[at] = m[cps[at]]
     return damaged, count, names, to_strings(cps, off)
 
 

@@ -367,6 +367,29 @@ def test_correct_text_is_no_case():
     assert text.to_pylist() == GOOD
 
 
+SAFE = [
+    "The letters äöü, ÄÖÜ and éèê carry marks", "ÜÖÄ ÜÖÄ ÜÖÄ", "Слово ПК и МакОС работает в СПбГУ и МГУ", "one\x85two", "ФБИ и ЦРУ, ЦБ и МВФ", "ÂÊÎÔÛ âêîôû", "МИНУТЫ СОБРАНИЯ ВЧЕРА УТРОМ",
+    "àèìòù âêîôû áéíóú", "ÁÉÍÓÚ áéíóú àèìòù", "ΑΒΓ άέή", "æøå ÆØÅ åäö ÅÄÖ", "ОЭСР и НАТО, СНГ, ОДКБ, ВТО, МОК", "Η ΕΛΛΆΔΑ ΚΑΙ Η ΕΕ", "ÉCOLE PRIVÉE À PARIS", "АБВГДЕЁЖЗИЙ абвгдеёжзий",
+]
+
+
+@pytest.mark.parametrize("text", SAFE)
+def test_lists_of_letters_and_abbreviations_are_no_case(text):
+    thrice = " ".join([text] * 3)
+    damaged, _, _, back = encoding.repair(pa.array([text, thrice]))
+    assert not damaged.any()
+    assert back.to_pylist() == [text, thrice]
+
+
+def test_a_swapped_stretch_in_correct_text():
+    bad = "показывает отчёт между частью гавани и список".encode("koi8_r").decode("cp1251")
+    text = "Вопрос стоит так: " + bad + ". После этого слово ПК верно"
+    damaged, _, names, back = encoding.repair(pa.array([text]))
+    assert damaged[0]
+    assert names == ["koi8_r"]
+    assert back[0].as_py() == "Вопрос стоит так: показывает отчёт между частью гавани и список. После этого слово ПК верно"
+
+
 @pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
 @pytest.mark.parametrize("text", ["Un café très naïf, dont l’été – déjà “long” – finit", "Über möglich größer geprüft schön früh", "La razón según el año pequeño también"])
 def test_round_trip(wrong, text):
