@@ -8,7 +8,7 @@ likeliest blocks, in which some of its least certain bits are turned. Units that
 the Hamming radius are candidates, and each candidate pair is verified on its words by bit-parallel
 edit distance.
 
-The width of a block follows the number N of training units, 2**bits being about N, and P is
+The width of a block follows the number N of training units, 2**bits being N or a little less, and P is
 2**(bits / 2 - 4): a test unit meets about sqrt(N) others by chance, in place of a fixed share of all.
 A pair at the limit of 15 % edits is then found by one table with a chance of 0.28 or more, and missed
 by all with less than 0.006.
@@ -33,15 +33,15 @@ from quillmark.operators.skew import digest, salted_join
 from quillmark.operators.storage import materialize, store
 
 BITS, TABLES, RADIUS, SEED = 256, 16, 72, 20240301
-#: Radius in the first 64 bits, looked at before anything is shuffled; at the limit of edits 2 in 100,000 pairs lie beyond.
-FIRST_RADIUS = 24
+#: Radius in the first 128 bits, looked at where units meet; at the limit of edits 4 in 100,000 pairs lie beyond.
+FIRST_RADIUS = 40
 MOST_EDITS = 0.15
 
 
 def block_bits(units: int) -> int:
     """Even width of a block for so many training units."""
-    bits = int(np.ceil(np.log2(max(units, 2))))
-    return int(np.clip(bits + bits % 2, 14, 40))
+    bits = int(np.log2(max(units, 2)))
+    return int(np.clip(bits - bits % 2, 14, 40))
 
 
 @lru_cache(None)
@@ -202,11 +202,11 @@ def overlap_pairs(docs: DataFrame, configs: DataFrame, doc_id: str = "doc_id", d
     hashed = store(both.mapInArrow(_hash(bits), "unit long, c0 long, c1 long, c2 long, c3 long, n int, keys array<long>, probes array<long>"), "hashes")
 
     def side(which: DataFrame, tag: str, blocks: str) -> DataFrame:
-        one = which.join(hashed.df.select("unit", "c0", "n", blocks), "unit").select("unit", "run", "c0", "n", F.explode(blocks).alias("block"))
-        return one.select(F.xxhash64("run", "block").alias("k"), F.col("unit").alias(f"u{tag}"), F.col("c0").alias(f"{tag}0"), F.col("n").alias(f"n{tag}"))
+        one = which.join(hashed.df.select("unit", "c0", "c1", "n", blocks), "unit").select("unit", "run", "c0", "c1", "n", F.explode(blocks).alias("block"))
+        return one.select(F.xxhash64("run", "block").alias("k"), F.col("unit").alias(f"u{tag}"), F.col("c0").alias(f"{tag}0"), F.col("c1").alias(f"{tag}1"), F.col("n").alias(f"n{tag}"))
 
     lengths = F.abs(F.col("na") - F.col("nb")) <= MOST_EDITS * F.greatest("na", "nb") + 1e-9
-    first = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) <= FIRST_RADIUS
+    first = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= FIRST_RADIUS
     met = salted_join(side(train, "a", "keys"), side(test, "b", "probes"), "k", "ua").where(F.col("ua") != F.col("ub")).where(lengths & first)
     met = store(met.select(F.least("ua", "ub").alias("ua"), F.greatest("ua", "ub").alias("ub")).distinct(), "met")
     code = lambda tag: hashed.df.select(F.col("unit").alias(f"u{tag}"), *[F.col(f"c{k}").alias(f"{tag}{k}") for k in range(BITS // 64)])
