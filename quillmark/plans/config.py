@@ -177,8 +177,13 @@ def build(values: dict[str, str]) -> Config:
 
 
 def load(path: str, overrides: dict[str, str] | None = None) -> dict[str, Config]:
+    """All configurations of a file, with overrides on top."""
+    return load_text(Path(path).read_text(), overrides)
+
+
+def load_text(text: str, overrides: dict[str, str] | None = None) -> dict[str, Config]:
     """All configurations named by ``configs`` (or the one global one), with overrides on top."""
-    top, sections = parse_properties(Path(path).read_text())
+    top, sections = parse_properties(text)
     names = [x.strip() for x in top.get("configs", "").split(",") if x.strip()] or list(sections)
     overrides = overrides or {}
     if not names:

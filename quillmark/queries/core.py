@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.queries import lines, models, text, topic, vector
+from quillmark.queries import checks, files, lines, models, text, topic, vector
 
-_MODULES = [lines, text, vector, topic, models]
+_MODULES = [lines, text, vector, topic, files, checks, models]
 
 
 def flagship(spark: SparkSession, where: str) -> DataFrame:

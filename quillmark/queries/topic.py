@@ -77,13 +77,8 @@ def hash_init(s: SparkSession, d: str) -> DataFrame:
     return K.hash_assignment(TQ._tokens(s, d), 10).groupBy("topic").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("terms"))
 
 
-def type_topic_pivot(s: SparkSession, d: str) -> DataFrame:
-    """The matrix, one column for each of the first ten topics."""
-    return _ttc(s, d).groupBy("type_id").pivot("topic", list(range(10))).agg(F.sum("n")).na.fill(0).select("type_id", *[F.col(str(i)).cast("long").alias(f"t{i}") for i in range(10)])
-
-
 def type_topic_matrix(s: SparkSession, d: str) -> DataFrame:
-    """The whole matrix, one column for each topic; ``type_topic_pivot`` has the first ten."""
+    """The whole matrix, one column for each topic."""
     return _ttc(s, d).groupBy("type_id").pivot("topic", list(range(TOPICS))).agg(F.sum("n")).na.fill(0).select("type_id", *[F.col(str(i)).cast("long").alias(f"t{i}") for i in range(TOPICS)])
 
 
@@ -215,7 +210,7 @@ _PRED = _ZB + _CE.format(f"WHERE {_FOLD} <> 0") + f", q AS (SELECT doc_id, topic
 
 QUERIES = {
     "theta": theta, "topic_probabilities": probabilities, "top_words": _top, "relevance": _scores(K.relevance), "distinctive": _scores(K.distinctiveness), "salient": _scores(K.saliency), "k1_reweighted": _scores(K.reweighted),
-    "topic_lines": topic_lines, "log_likelihood": log_likelihood, "count_delta": count_delta, "hash_init": hash_init, "type_topic_counts": _ttc, "doc_topic_counts": _dtc, "type_topic_pivot": type_topic_pivot, "type_topic_matrix": type_topic_matrix, "word_given_theta": theta_join_phi,
+    "topic_lines": topic_lines, "log_likelihood": log_likelihood, "count_delta": count_delta, "hash_init": hash_init, "type_topic_counts": _ttc, "doc_topic_counts": _dtc, "type_topic_matrix": type_topic_matrix, "word_given_theta": theta_join_phi,
     "topic_order": lambda s, d: K.reorder_topics(_ttc(s, d)), "phi_density": lambda s, d: _round(K.density(_ttc(s, d), TOPICS), 9), "doc_density": lambda s, d: _round(K.doc_density(_dtc(s, d), TOPICS), 9),
     "batch_top_types": lambda s, d: K.frequent_types(_ttc(s, d), 0.1), "systematic_sample": lambda s, d: K.systematic_types(_ttc(s, d), 50, 17), "topic_tokens": lambda s, d: G.topic_tokens(_ttc(s, d)),
     "doc_entropy": lambda s, d: _round(G.document_entropy(_dtc(s, d))), "word_length": word_length, "coherence": coherence, "uniform_dist": lambda s, d: _round(G.uniform_distance(_ttc(s, d))), "corpus_dist": lambda s, d: _round(G.corpus_distance(_ttc(s, d))),
@@ -239,7 +234,6 @@ SQL = {
     "hash_init": TQ.with_tokens() + " SELECT ((doc_id * 7 + pos * 13 + length(term) * 31) % 10)::INT AS topic, count(*) AS tokens, count(DISTINCT term) AS terms FROM tok GROUP BY 1",
     "type_topic_counts": _A + " SELECT * FROM ttc",
     "doc_topic_counts": _A + " SELECT * FROM dtc",
-    "type_topic_pivot": _A + " SELECT type_id, " + ", ".join(f"coalesce(sum(n) FILTER (topic = {i}), 0)::BIGINT AS t{i}" for i in range(10)) + " FROM ttc GROUP BY 1",
     "type_topic_matrix": _A + " SELECT type_id, " + ", ".join(f"coalesce(sum(n) FILTER (topic = {i}), 0)::BIGINT AS t{i}" for i in range(TOPICS)) + " FROM ttc GROUP BY 1",
     "word_given_theta": _A + " SELECT s.doc_id, s.type_id, round(sum(d.n / dn * t.n / tokens), 9) AS p FROM (SELECT DISTINCT doc_id, type_id FROM assign) s JOIN dtc d USING (doc_id) JOIN dl USING (doc_id) JOIN ttc t ON t.topic = d.topic AND t.type_id = s.type_id JOIN tp ON tp.topic = d.topic GROUP BY 1, 2",
     "topic_order": _A + " SELECT topic, (row_number() OVER (ORDER BY tokens DESC, topic) - 1)::INT AS new_topic FROM tp",
@@ -273,3 +267,5 @@ SQL = {
     "batch_even": "SELECT doc_id, ntile(4) OVER (ORDER BY doc_id)::INT AS batch FROM documents",
     "batch_fixed": "WITH n AS (SELECT count(*) AS n FROM documents), st AS (SELECT n, 1 + floor(0.1 * n) + floor(0.5 * n) + floor(0.25 * n) + floor(0.1 * n) AS s, floor(0.5 * n) AS z FROM n), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id FROM x, st WHERE (i - s + 4 * n) % n < z",
 }
+_PARTS = ("doc_entropy", "word_length", "coherence", "uniform_dist", "corpus_dist", "eff_num_words", "token_doc_diff", "rank_1_docs", "allocation")
+SQL["all_diagnostics"] = f"SELECT * FROM ({SQL['topic_tokens']}) " + " ".join(f"LEFT JOIN ({SQL[x]}) USING (topic)" for x in _PARTS)

@@ -13,7 +13,7 @@ from quillmark.operators import search, vocab
 from quillmark.queries import text as TQ
 from quillmark.queries.base import table
 
-_PROBABILITY = ("jaccard", "continuous_jaccard", "hellinger", "kl", "symmetric_kl", "jensen_shannon", "uber", "canberra")
+_PROBABILITY = ("continuous_jaccard", "hellinger", "kl", "symmetric_kl", "jensen_shannon", "uber", "canberra")
 
 
 def _vectors(s: SparkSession, d: str, positive: bool) -> DataFrame:
@@ -51,9 +51,10 @@ def nearest_neighbour(s: SparkSession, d: str) -> DataFrame:
 
 
 def theta_nearest(s: SparkSession, d: str) -> DataFrame:
-    """The closest document by KL of topic distributions."""
+    """Q, nearest, d: the closest document by Jensen-Shannon distance of topic distributions; d is rounded first, so that ties go to the smaller id."""
     t = table(s, d, "doc_topics").where("theta IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("theta").alias("vec")).where(F.exists("vec", lambda x: x > 0))
-    return search.nearest_neighbour(t.where("id % 50 = 0"), t, "jensen_shannon").select("q", F.round("d", 6).alias("d"))
+    r = search.distance_to_all(t.where("id % 50 = 0"), t, "jensen_shannon").where("q <> id").withColumn("d", F.round("d", 9) + 0.0)
+    return search.top_k(r, 1).select("q", F.col("id").alias("nearest"), "d")
 
 
 def theta_nearest_kl(s: SparkSession, d: str) -> DataFrame:
@@ -148,7 +149,7 @@ SQL = {f"dist_{n}": (_PROB if n in _PROBABILITY else _PLAIN) + _PAIR + f"SELECT
     "moments": _E + "m AS (SELECT id, v, list_sum(v) / len(v) AS m FROM v), s AS (SELECT id, m, list_sum([(e - m) ^ 2 for e in v]) / len(v) AS s FROM m) SELECT id, round(m, 9) AS mean, round(s, 9) AS variance, round(sqrt(s), 9) AS sd FROM s",
     "intervals": _E + "o AS (SELECT 1) SELECT id, len([e for e in v if (e BETWEEN -2 AND -1) OR (e BETWEEN 1 AND 2)])::INT AS inside FROM v",
     "nearest_neighbour": _PLAIN + _PAIR + f", di AS (SELECT q, id, {_EUC} AS d FROM mo WHERE q <> id) SELECT q, arg_min(id, {{'d': d, 'i': id}}) AS nearest, round(min(d), 6) AS d FROM di GROUP BY 1",
-    "theta_nearest": "WITH p AS (SELECT doc_id AS id, theta AS v FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0), " + _PAIR + f", di AS (SELECT q, {_FORMULAS['jensen_shannon']} AS d FROM mo WHERE q <> id) SELECT q, round(min(d), 6) AS d FROM di GROUP BY 1",
+    "theta_nearest": "WITH p AS (SELECT doc_id AS id, theta AS v FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0), " + _PAIR + f", di AS (SELECT q, id, round({_FORMULAS['jensen_shannon']}, 9) + 0.0 AS d FROM mo WHERE q <> id) SELECT q, arg_min(id, {{'d': d, 'i': id}}) AS nearest, min(d) AS d FROM di GROUP BY 1",
     "theta_nearest_kl": "WITH p AS (SELECT doc_id AS id, theta AS v FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0), " + _PAIR + ", di AS (SELECT q, id, round(list_sum([CASE WHEN a[i] = 0 THEN 0 WHEN b[i] = 0 THEN 'inf'::DOUBLE ELSE a[i] * ln(a[i] / b[i]) END for i in range(1, len(a) + 1)]) / ln(2), 9) + 0.0 AS d FROM mo WHERE q <> id) SELECT q, arg_min(id, {'d': d, 'i': id}) AS nearest, min(d) AS d FROM di GROUP BY 1",
     "bm25_scores": _BM1 + " SELECT * FROM bm",
     "bm25_topk": _BM1 + " SELECT * FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank, score FROM bm) WHERE rank <= 10",
