@@ -65,7 +65,10 @@ def same_but_format(docs: DataFrame, doc_id: str = "doc_id", data: str = "data")
     Byte-identical copies are members too. A group may hold any share of the rows: it is reduced
     by partial aggregation and met again by a salted join. Rows with a repeated id give one row.
     """
-    members, groups = format_classes(docs, doc_id, data)
+    return _others(*format_classes(docs, doc_id, data))
+
+
+def _others(members: DataFrame, groups: DataFrame) -> DataFrame:
     return attach_group(members, groups, "key", "doc_id").where("doc_id > kept_doc_id").select("kept_doc_id", "doc_id").distinct()
 
 
@@ -74,8 +77,8 @@ def collapsed(docs: DataFrame, doc_id: str = "doc_id", data: str = "data") -> Da
 
     Rows with null data or without a letter, mark or digit are left out.
     """
-    _, groups = format_classes(docs, doc_id, data)
+    members, groups = format_classes(docs, doc_id, data)
     alone = docs.where(F.col(data).isNotNull() & (stripped(data) != "")).select(F.col(doc_id).cast("long").alias("doc_id"))
-    extra = same_but_format(docs, doc_id, data).select("doc_id").distinct()
+    extra = _others(members, groups).select("doc_id").distinct()
     kept = groups.select(F.col("kept_doc_id").alias("doc_id"), "n")
     return alone.join(extra, "doc_id", "left_anti").join(kept, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(1).cast("long")).alias("copies"))

@@ -43,7 +43,8 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p4_search(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "doc_topics")
-    return neighbours.search(t, t.where(F.col("doc_id") % 50 == 0))
+    r = neighbours.search(t, t.where(F.col("doc_id") % 50 == 0))
+    return r.select("id", "neighbour", F.round("sim", 9).alias("sim"), "rank")
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
@@ -112,8 +113,17 @@ grouped AS (SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS kept, cou
 """
 
 
+_COSINES = """
+WITH v AS (SELECT doc_id, list_transform(theta, lambda x: x / sqrt(list_sum(list_transform(theta, lambda y: y * y)))) AS u FROM doc_topics WHERE theta IS NOT NULL AND list_max(theta) > 0),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, list_dot_product(a.u, b.u) AS s FROM v a JOIN v b ON a.doc_id <> b.doc_id WHERE {0}),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b)::INT AS r FROM c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _COSINES.format("TRUE") + "SELECT DISTINCT least(a, b) AS doc_id_a, greatest(a, b) AS doc_id_b FROM r WHERE r <= 5 AND s >= 0.97",
+        "p4_search": _COSINES.format("a.doc_id % 50 = 0") + "SELECT a AS id, b AS neighbour, round(s, 9) AS sim, r AS rank FROM r WHERE r <= 5",
         "p1_found": _TERMS + "SELECT config_name, term, 'rare' AS mark FROM marked WHERE rare UNION ALL SELECT config_name, term, 'common' FROM marked WHERE common",
         "p1_term_frequency": _TERMS + "SELECT * FROM marked",
         "p3_found": _KEYS + "SELECT kept AS kept_doc_id, doc_id FROM grouped WHERE doc_id > kept",

@@ -80,7 +80,9 @@ def term_frequencies(docs: DataFrame, collection: str, record: str, text: str) -
     record id count as one record. Texts without terms give no row, empty tables an empty result.
     """
     texts = docs.where(F.col(text).isNotNull()).select(F.col(collection).cast("string").alias("collection"), F.col(record).cast("long").alias("record"), F.array_sort(tokens(text)).alias("t"))
-    ordered = texts.select("collection", "record", F.explode(within_record("t")).alias("_")).select("collection", "_.term", "record", "_.times").repartitionByRange("collection", "term", "record").sortWithinPartitions("collection", "term", "record")
+    # written once: the range partitioning reads its input twice, and would cut all texts into terms twice
+    counted = materialize(texts.select("collection", "record", F.explode(within_record("t")).alias("_")).select("collection", "_.term", "record", "_.times"), "counted")
+    ordered = counted.repartitionByRange("collection", "term", "record").sortWithinPartitions("collection", "term", "record")
     pieces = ordered.mapInArrow(_scan, "collection string, term string, occurrences long, records long")
     return pieces.groupBy("collection", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
