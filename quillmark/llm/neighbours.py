@@ -432,7 +432,8 @@ def _cosines(e: dict[int, Entries]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(e[0]["x"])
     at = order[np.searchsorted(e[0]["x"][order], e[1]["x"])]
     for a in range(0, len(at), 50_000):
-        s = np.einsum("ij,ij->i", e[0]["v"][at[a : a + 50_000]], e[1]["v"][a : a + 50_000])
+        # rounded, so that similarities that are equal but for the order of summation tie
+        s = np.round(np.einsum("ij,ij->i", e[0]["v"][at[a : a + 50_000]], e[1]["v"][a : a + 50_000]), 12)
         yield pa.RecordBatch.from_arrays([pa.array(e[1]["x"][a : a + 50_000]), pa.array(e[1]["y"][a : a + 50_000]), pa.array(s)], names=["src", "dst", "sim"])
 
 
@@ -594,7 +595,7 @@ def _all_rows(shared, k: int) -> Callable:
         for b in batches:
             if b.num_rows and len(ids):
                 rows = b.column(0).to_numpy()
-                s = np.round(q @ _matrix(b.column(1)).T, 13)
+                s = np.round(q @ _matrix(b.column(1)).T, 12)
                 s[ids[:, None] == rows[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(rows, s.shape), -s), axis=1)[:, :k]
                 best = np.take_along_axis(s, order, 1)
