@@ -20,14 +20,20 @@ _LETTERS = "eatnoиоεα"
 
 
 def exact_key(text: Column | str, fields: tuple[str, ...] = FIELD_NAMES) -> Column:
-    """What two texts have in common when they are the same but for formatting: their stripped items, sorted.
+    """What two texts have in common when they are the same but for formatting: what stands before the first item, and the sorted items, all stripped.
 
     An item starts at a field name that no letter, mark or digit precedes and that optional white
-    space and a colon follow. A text without such a place is one item.
+    space and a colon follow. A text without such a place has no item. A field name with a character
+    without width inside is no field name, so its text belongs to what stands before.
     """
-    start = rf"(?<![{WORD_CHARS}])(?=(?:{'|'.join(fields)})[\s\p{{Z}}]*:)"
-    items = F.transform(F.split(F.lower(col(text)), start), lambda x: F.regexp_replace(x, rf"[^{WORD_CHARS}]", ""))
-    return F.concat_ws("\u0001", F.array_sort(F.filter(items, lambda x: x != "")))
+    field = rf"(?:{'|'.join(fields)})[\s\p{{Z}}]*:"
+    parts = F.split(F.lower(col(text)), rf"(?<![{WORD_CHARS}])(?={field})")
+    strip = lambda x: F.regexp_replace(x, rf"[^{WORD_CHARS}]", "")
+    begins = F.element_at(parts, 1).rlike(rf"^{field}")
+    head = F.when(begins, F.lit("")).otherwise(strip(F.element_at(parts, 1)))
+    items = F.when(begins, parts).otherwise(F.slice(parts, 2, 2_000_000_000))
+    stripped_items = F.filter(F.transform(items, strip), lambda x: x != "")
+    return F.concat(head, F.lit("\u0002"), F.concat_ws("\u0001", F.array_sort(stripped_items)))
 
 
 def _cheap(clean: Column) -> Column:

@@ -108,8 +108,8 @@ WITH marked AS (
     regexp_replace(lower(data), '(^|[^\p{{L}}\p{{M}}\p{{Nd}}])((?:title|venue|keywords|summary)[\s\p{{Z}}]*:)', '\1' || chr(1) || '\2', 'g') AS cut
   FROM docs WHERE data IS NOT NULL),
 keyed AS (
-  SELECT doc_id, array_to_string(list_sort(list_filter(list_transform(string_split(cut, chr(1)), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> '')), chr(1)) AS key FROM marked),
-grouped AS (SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS kept, count(*) OVER (PARTITION BY key) AS n FROM keyed WHERE key <> '')
+  SELECT doc_id, p[1] || chr(2) || array_to_string(list_sort(list_filter(p[2:], lambda x: x <> '')), chr(1)) AS key FROM (SELECT doc_id, list_transform(string_split(cut, chr(1)), lambda x: regexp_replace(x, {_STRIP})) AS p FROM marked)),
+grouped AS (SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS kept, count(*) OVER (PARTITION BY key) AS n FROM keyed WHERE key <> chr(2))
 """
 
 
