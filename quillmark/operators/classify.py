@@ -112,10 +112,10 @@ def even_batches(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def percentage_batch(docs: DataFrame, share: float, seed: int, key: str = "doc_id") -> DataFrame:
-    """B2: exactly ceil(share * N) documents without replacement, by a seeded hash order (a top-k, no global sort)."""
+    """B2: exactly ceil(share * N) documents without replacement, by a seeded hash order that any engine can repeat (a top-k, no global sort)."""
     import math
 
-    return docs.select(key).orderBy(F.xxhash64(F.lit(seed), key), key).limit(math.ceil(share * docs.count()))
+    return docs.select(key).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(math.ceil(share * docs.count()))
 
 
 def adaptive_batch(docs: DataFrame, iteration: int, instability: int, share: float, seed: int, key: str = "doc_id") -> DataFrame:

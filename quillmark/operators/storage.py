@@ -27,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", where)
-        _remove_later(spark, where)
+        remove_later(spark, where)
     return where.rstrip("/")
 
 
-def _remove_later(spark: SparkSession, path: str) -> None:
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Delete a path when the process ends."""
     if not _LIVE:
         atexit.register(lambda: [_quiet(p, s) for s, p in _LIVE])
     _LIVE.append((spark, path))
@@ -93,7 +94,7 @@ def store(df: DataFrame, label: str = "t") -> Stored:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillmark/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
-    _remove_later(spark, path)
+    remove_later(spark, path)
     return Stored(spark, path, df.schema)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillmark.models import draws, lda, scan
 from quillmark.operators import classify, search, vocab
 from quillmark.operators import topics as K
-from quillmark.operators.storage import shared_folder
+from quillmark.operators.storage import remove_later, shared_folder
 from quillmark.plans import config
 from quillmark.queries import models as M
 from quillmark.queries import text as TQ
@@ -65,6 +65,7 @@ def saved_model(s: SparkSession, d: str) -> DataFrame:
     """Tokens of each topic of a model that was saved, loaded with its document priors, and swept again."""
     m, _ = _bound(s, d, "uncollapsed", 1)
     folder = f"{shared_folder(s)}/quillmark/model-{uuid.uuid4().hex}"
+    remove_later(s, folder)
     m.save(folder)
     return K.tokens_per_topic(K.type_topic_counts(lda.TopicModel.load(s, folder).sample(1).assign()))
 

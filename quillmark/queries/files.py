@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators import topics as K
 from quillmark.operators import vectors, vocab
-from quillmark.operators.storage import shared_folder, write_bytes
+from quillmark.operators.storage import remove_later, shared_folder, write_bytes
 from quillmark.plans import config, programs
 from quillmark.queries import text as TQ
 from quillmark.queries import topic as PQ
@@ -31,7 +31,9 @@ _WHITE = "[" + "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 0x85, 0x2028
 
 
 def _at(s: SparkSession, name: str) -> str:
-    return f"{shared_folder(s)}/quillmark/files-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(s)}/quillmark/files-{uuid.uuid4().hex}"
+    remove_later(s, folder)
+    return f"{folder}/{name}"
 
 
 def _clean(c: str):  # noqa: ANN202

@@ -265,6 +265,7 @@ SQL = {
     "perplexity_split": TQ.with_tokens() + ", x AS (SELECT *, CASE WHEN doc_id % 7 = 3 AND row_number() OVER (PARTITION BY doc_id ORDER BY (pos * 31 + doc_id * 17) % 1009, pos) <= floor(count(*) OVER (PARTITION BY doc_id) / 2) THEN 'test' ELSE 'train' END AS part FROM tok) SELECT part, doc_id, count(*) AS tokens, sum(pos)::BIGINT AS positions FROM x GROUP BY 1, 2",
     "fold_sizes": f"SELECT ({_FOLD})::INT AS fold, count(*) AS n FROM documents GROUP BY 1",
     "batch_even": "SELECT doc_id, ntile(4) OVER (ORDER BY doc_id)::INT AS batch FROM documents",
+    "batch_percentage": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= ceil(0.2::DOUBLE * n)",
     "batch_fixed": "WITH n AS (SELECT count(*) AS n FROM documents), st AS (SELECT n, 1 + floor(0.1 * n) + floor(0.5 * n) + floor(0.25 * n) + floor(0.1 * n) AS s, floor(0.5 * n) AS z FROM n), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id FROM x, st WHERE (i - s + 4 * n) % n < z",
 }
 _PARTS = ("doc_entropy", "word_length", "coherence", "uniform_dist", "corpus_dist", "eff_num_words", "token_doc_diff", "rank_1_docs", "allocation")

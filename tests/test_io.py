@@ -143,7 +143,7 @@ def test_configuration(tmp_path):
 
 def test_training_program(spark, files):
     c = config.Config(dataset=str(files / "small.txt"), topics=2, alpha=0.5, iterations=3, seed=1, base_out_dir=str(files / "out"), save_vocabulary=True, save_doc_topic_means=True, save_doc_topic_diagnostics=True, save_sampler=True, saved_sampler_dir=str(files / "saved"), stoplist="", topic_interval=1, nr_top_words=3, save_corpus=True, log_topic_indicators=True, save_phi_mean=True)
-    m, ids = programs.train(spark, c)
+    m, _ = programs.train(spark, c)
     assert len(m.history) == 3
     out = next((files / "out").iterdir())
     assert {"top_words.csv", "vocabulary", "doc_topic_means", "likelihood.txt", "stats.txt", "manifest.json"} <= {p.name for p in out.iterdir()}
