@@ -146,7 +146,7 @@ def _scripts(extra: Extra = ()) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 def _touched() -> np.ndarray:
     """Characters whose presence can change a row."""
     script, _ = _scripts()
-    length, start, flat = _decompositions()
+    length, _, _ = _decompositions()
     t = (_single() != np.arange(N_CODES)) | (_classes() > 0) | _pairs()[2] | (script >= GREEK)
     t[list(WIDTHLESS)] = True
     t |= (length > 1) & np.fromiter((unicodedata.normalize("NFC", chr(i)) != chr(i) if length[i] > 1 else False for i in range(N_CODES)), bool, N_CODES)

@@ -205,6 +205,27 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.nearest(df.where("doc_id = 50")).count() == 0
 
 
+def test_more_copies_than_k_and_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [1.0, 2.0, 3.0]) for i in range(1, 31)] + [(100 + i, rng.random(3).tolist()) for i in range(40)] + [(200 + i, rng.random(7).tolist()) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, theta array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, k=10).orderBy("id", "rank").collect():
+        got[r.id].append(r.neighbour)
+    assert got[30] == list(range(1, 11))
+    assert got[1] == list(range(2, 12))
+    assert len(got) == 90
+    assert all(len(v) == 10 for v in got.values())
+    for low, high in ((100, 140), (200, 220)):
+        part = [(i, v) for i, v in data if low <= i < high or (low == 100 and i < 100)]
+        want = brute_neighbours(np.array([i for i, _ in part]), np.array([v for _, v in part]), 10)
+        assert all(got[i] == [j for j, _ in want[i]] for i in range(low, high))
+    exact = collections.defaultdict(list)
+    for r in neighbours.exact_nearest(df, df.where("doc_id % 50 = 0"), k=10).orderBy("id", "rank").collect():
+        exact[r.id].append(r.neighbour)
+    assert dict(exact) == {i: got[i] for i in (100, 200)}
+
+
 # problem 6 ----------------------------------------------------------------------------------------
 MARKS = ["a", "e", "o", "é", "ñ", "Å", "́", "̈", "̣", "̧", "ạ", "ộ", "가", "각", "ᄀ", "ᅡ", "ᆨ", "ெ", "ா", "ে", "া", " ", "̈́", "क़", "שּׁ", "ּ", "ׁ", "ש", "豈", "z", "\U0001d15e", "\U0001d157", "\U0001d165"]
 
