@@ -245,3 +245,14 @@ def test_rows_in_order(spark):
     got = order.in_order(rows.repartition(5), F.desc("x"), total="all", running={"y": "sum"}).collect()
     assert sorted((r["index"], r.x, r["all"], r["sum"]) for r in got) == [(i, 999 - i, 1000, 2 * i + 2) for i in range(1000)]
     assert order.in_order(rows.limit(0), "x").count() == 0
+
+
+def test_nearest_by_kl(spark):  # D24
+    rows = spark.createDataFrame([(1, [0.5, 0.5, 0.0]), (2, [0.5, 0.25, 0.25]), (3, [1.0, 0.0, 0.0]), (4, [0.5, 0.25, 0.25]), (5, None)], "id long, vec array<double>")
+    got = {(r.q, r["rank"]): (r.id, r.d) for r in search.nearest_by_kl(rows, rows, 2).collect()}
+    assert got[1, 1] == (2, 0.5)
+    assert got[1, 2] == (4, 0.5)
+    assert got[2, 1] == (4, 0.0)
+    assert got[2, 2] == (1, float("inf"))
+    assert got[3, 1] == (1, 1.0)
+    assert search.nearest_by_kl(rows.where("false"), rows).count() == 0
