@@ -6,12 +6,17 @@ totals over an empty table are zero. Terms are compared byte by byte.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import text as T
 from quillmark.operators.order import in_order
+from quillmark.operators.storage import materialize
 
 
 def explode_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=T.tokens) -> DataFrame:
@@ -85,6 +90,20 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def doc_words(docs: DataFrame, tokens: str = "t") -> DataFrame:
+    """V9 as a row for each document: doc_id, terms (distinct), tfs, counted inside the batch; for ids that are unique."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = b.column(1).flatten().dictionary_encode()
+                row, size = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False)), max(len(flat.dictionary), 1)
+                cell, n = np.unique(row * size + flat.indices.to_numpy(), return_counts=True)
+                starts = pa.array(np.searchsorted(cell, np.arange(b.num_rows + 1) * size), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(starts, flat.dictionary.take(pa.array(cell % size))), pa.ListArray.from_arrays(starts, pa.array(n, pa.int64()))], names=["doc_id", "terms", "tfs"])
+
+    return docs.where(F.col(tokens).isNotNull()).select("doc_id", tokens).mapInArrow(run, "doc_id long, terms array<string>, tfs array<long>")
+
+
 def corpus_totals(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """V9: n_docs, n_tokens, n_types, avg_doc_len (0 without documents)."""
     per = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
@@ -130,6 +149,22 @@ def normalised_cooccurrence(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return one.join(stats.select(F.col("term").alias("w1"), "tf"), "w1").select("w1", "w2", (F.col("n") / F.col("tf")).alias("score"))
 
 
+def adjacent_scores(docs: DataFrame, counts: DataFrame, text: str = "text", tokenizer=T.tokens) -> DataFrame:
+    """V14 from texts, for the words w1 in ``counts`` (term, tf): both directions of a pair are counted under one key, so there is one shuffle.
+
+    ``counts`` is counted: up to 500,000 words are broadcast, beyond it the scores are joined.
+    """
+    t = docs.where(F.col(text).isNotNull()).select(tokenizer(text).alias("t"))
+    pairs = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))
+    n = lambda held: F.nullif(F.count(F.when(held, 1)), F.lit(0))
+    one = t.select(F.explode(pairs).alias("p")).groupBy(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).agg(n(F.col("p.a") <= F.col("p.b")).alias("forward"), n(F.col("p.a") > F.col("p.b")).alias("swapped"))
+    way = lambda a, b, n, other: F.struct(F.col(a).alias("w1"), F.col(b).alias("w2"), F.coalesce(n, other).alias("n"))
+    ways = F.array(way("a", "b", "forward", "swapped"), way("b", "a", "swapped", "forward"))
+    both = one.select(F.explode(F.slice(ways, 1, F.when(F.col("a") == F.col("b"), 1).otherwise(2))).alias("x")).select("x.*")
+    words = materialize(counts.select(F.col("term").alias("w1"), "tf"), "counts")
+    return both.join(F.broadcast(words) if words.count() <= 500_000 else words, "w1").select("w1", "w2", (F.col("n") / F.col("tf")).alias("score"))
+
+
 def common_words(a: Column, b: Column) -> Column:
     """The distinct words of both token arrays, sorted."""
     return F.array_sort(F.array_intersect(a, b))

@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.models import draws, lda, scan
 from quillmark.operators import classify, search, vocab
 from quillmark.operators import topics as K
-from quillmark.operators.storage import remove_later, shared_folder
+from quillmark.operators.storage import materialize, remove_later, shared_folder
 from quillmark.plans import config
 from quillmark.queries import models as M
 from quillmark.queries import text as TQ
@@ -244,10 +245,10 @@ def gamma_moments(s: SparkSession, d: str) -> DataFrame:
 
 
 # search, classes, streams -------------------------------------------------------------------------
-def _lda_parts(s: SparkSession, d: str) -> tuple:
+def _lda_parts(s: SparkSession, d: str, tokens: DataFrame | None = None) -> tuple:
     """Query words of ``documents`` with an id divisible by 50, and the state (5 doc_id + 11 pos) mod 10 as phi and theta."""
     docs = TQ._docs(s, d)
-    tokens = TQ._tokens(s, d)
+    tokens = TQ._tokens(s, d) if tokens is None else tokens
     a = tokens.withColumn("topic", ((F.col("doc_id") * 5 + F.col("pos") * 11) % TOPICS).cast("int"))
     nk = a.groupBy("topic").agg(F.count(F.lit(1)).alias("nk"))
     phi = a.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")).join(nk, "topic").select("topic", "term", (F.col("n") / F.col("nk")).alias("p"))
@@ -273,10 +274,12 @@ def lda_length_prior(s: SparkSession, d: str) -> DataFrame:
 
 def lda_backoff(s: SparkSession, d: str) -> DataFrame:
     """Absent words take the mean co-occurrence score with the document's words."""
-    q, post, lengths, phi, theta, docs = _lda_parts(s, d)
-    scores = vocab.normalised_cooccurrence(vocab.adjacent_pairs(docs), TQ._stats(s, d))
-    wanted = q.select(F.col("term").alias("w1")).distinct()
-    r = search.lda_likelihood(q, post, lengths, phi, theta, backoff=scores.join(wanted, "w1", "left_semi")).select("q", "id", F.round("d", 6).alias("d"))
+    lists = materialize(TQ._docs(s, d).select("doc_id", T.tokens("text").alias("t")), "tokens")
+    tokens = vocab.explode_tokens(lists, text="t", tokenizer=F.col)
+    q, post, lengths, phi, theta, _ = _lda_parts(s, d, tokens)
+    counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("tf")).join(q.select("term").distinct(), "term", "left_semi")
+    scores = vocab.adjacent_scores(lists, counts, "t", F.col)
+    r = search.lda_likelihood(q, post, lengths, phi, theta, backoff=scores, best=10, doc_words=vocab.doc_words(lists)).select("q", "id", F.round("d", 6).alias("d"))
     return search.top_k(r, 10)
 
 

@@ -256,3 +256,47 @@ def test_nearest_by_kl(spark):  # D24
     assert got[2, 2] == (1, float("inf"))
     assert got[3, 1] == (1, 1.0)
     assert search.nearest_by_kl(rows.where("false"), rows).count() == 0
+
+
+def test_backoff_makes_no_row_for_a_word_that_a_document_lacks(spark, monkeypatch):  # D20
+    """Six documents of which each lacks nearly all query words: what is written and what the scores are."""
+    import numpy as np
+
+    words = {i: [f"w{(i * 7 + j) % 40}" for j in range(5)] for i in range(6)}
+    posts = spark.createDataFrame([(w, i, 1) for i, ws in words.items() for w in ws], "term string, doc_id long, tf long")
+    lengths = spark.createDataFrame([(i, 5) for i in words], "doc_id long, n_tokens long")
+    phi = spark.createDataFrame([(0, f"w{i}", 0.025) for i in range(40)], "topic int, term string, p double")
+    theta = spark.createDataFrame([(i, 0, 1.0) for i in words], "doc_id long, topic int, theta double")
+    q = spark.createDataFrame([(0, w) for w in sorted({w for ws in words.values() for w in ws})], "q long, term string")
+    s = {(a, b): (3 * a + b) % 11 / 20 for a in range(40) for b in range(40) if a != b}
+    scores = spark.createDataFrame([(f"w{a}", f"w{b}", v) for (a, b), v in s.items()], "w1 string, w2 string, score double")
+    kept, write = {}, search.materialize
+
+    def note(df, label="t"):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(search, "materialize", note)
+    got = {r.id: r.d for r in search.lda_likelihood(q, posts, lengths, phi, theta, backoff=scores).collect()}
+    assert kept["documents"].agg(F.sum(F.size("terms"))).first()[0] == posts.count()
+    vocab_ = [r.term for r in q.collect()]
+    cf = {w: sum(w in ws for ws in words.values()) for w in vocab_}
+    for i, ws in words.items():
+        p = [1 / 5 if w in ws else np.mean([s.get((int(w[1:]), int(x[1:])), 0.0) for x in ws]) for w in vocab_]
+        want = -sum(np.log(0.7 * (5 / 6 * a + 1 / 6 * cf[w] / 30) + 0.3 * 0.025) for w, a in zip(vocab_, p))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    first = search.top_k(search.lda_likelihood(q, posts, lengths, phi, theta, backoff=scores, best=2), 2).collect()
+    assert [r.id for r in sorted(first, key=lambda r: r["rank"])] == sorted(got, key=lambda i: (got[i], i))[:2]
+
+
+def test_adjacent_scores_are_the_normalised_cooccurrence(spark, jokes):  # V14
+    stats = vocab.term_stats(vocab.explode_tokens(jokes))
+    want = vocab.normalised_cooccurrence(vocab.adjacent_pairs(jokes), stats).collect()
+    got = vocab.adjacent_scores(jokes, stats.select("term", "tf")).collect()
+    assert len(want) > 10
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    words = {r.doc_id: dict(zip(r.terms, r.tfs)) for r in vocab.doc_words(jokes.select("doc_id", T.tokens("text").alias("t"))).collect()}
+    assert words[2] == {"the": 1, "intel": 1, "inside": 1, "joke": 2, "is": 1, "a": 1}
+    assert words[3] == {"a": 2, "b": 1}
+    assert words[5] == {}
+    assert 4 not in words
