@@ -53,8 +53,7 @@ def nearest_neighbour(s: SparkSession, d: str) -> DataFrame:
 def theta_nearest(s: SparkSession, d: str) -> DataFrame:
     """Q, nearest, d: the closest document by Jensen-Shannon distance of topic distributions; d is rounded first, so that ties go to the smaller id."""
     t = table(s, d, "doc_topics").where("theta IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("theta").alias("vec")).where(F.exists("vec", lambda x: x > 0))
-    r = search.distance_to_all(t.where("id % 50 = 0"), t, "jensen_shannon").where("q <> id").withColumn("d", F.round("d", 9) + 0.0)
-    return search.top_k(r, 1).select("q", F.col("id").alias("nearest"), "d")
+    return search.nearest_by_jensen_shannon(t.where("id % 50 = 0"), t).select("q", F.col("id").alias("nearest"), "d")
 
 
 def theta_nearest_kl(s: SparkSession, d: str) -> DataFrame:

@@ -300,3 +300,35 @@ def test_adjacent_scores_are_the_normalised_cooccurrence(spark, jokes):  # V14
     assert words[3] == {"a": 2, "b": 1}
     assert words[5] == {}
     assert 4 not in words
+
+
+def test_nearest_by_jensen_shannon_compares_few_pairs(spark, monkeypatch):  # J6
+    """The same rows as all pairs; exact distances of less than a tenth of them; ties, zeros and the row itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.random.default_rng(5).dirichlet(np.full(20, 0.2), (2, 3000))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h, f = (np.sqrt(a) - np.sqrt(b)) ** 2 / 2, np.where(a > 0, a * np.log2(2 * a / (a + b)), 0) / 2 + np.where(b > 0, b * np.log2(2 * b / (a + b)), 0) / 2
+    assert (h <= f + 1e-15).all() and (f <= h / np.log(2) + 1e-15).all()
+    v = np.concatenate([a[:1500], a[:20], np.eye(20)[:3], np.eye(20)[:1]])
+    met, exact = [], search._jensen_shannon
+    monkeypatch.setattr(search, "_jensen_shannon", lambda x, y: met.append(len(x)) or exact(x, y))
+    ids = np.arange(len(v)) * 10
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), lists(v)], names=["id", "v"])
+    ask = np.r_[0:60, 1495:1524]
+
+    class Shared:
+        value = (ids[ask], v[ask])
+
+    (out,) = search._jensen_shannon_batches(Shared)(iter([batch.slice(700), batch.slice(0, 700)]))
+    assert sum(met) < 0.1 * len(ask) * len(v)
+    got = {q: (i, d) for q, i, d in zip(*(c.to_pylist() for c in out.columns))}
+    for q in ask:
+        d = exact(np.broadcast_to(v[q], v.shape), v)
+        d[q] = np.inf
+        assert got[ids[q]] == (ids[np.flatnonzero(d == d.min())[0]], d.min())
+    rows = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, None), (4, [0.5, 0.5]), (5, [0.5, 0.5])], "id long, vec array<double>")
+    assert {(r.q, r.id, r.d) for r in search.nearest_by_jensen_shannon(rows, rows).collect() if r.q != 2} == {(1, 4, 0.0), (4, 1, 0.0), (5, 1, 0.0)}
+    assert search.nearest_by_jensen_shannon(rows.where("false"), rows).count() == 0
