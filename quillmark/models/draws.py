@@ -13,18 +13,45 @@ import numpy as np
 TINY = np.finfo(float).tiny
 
 
-def uniforms(seed: int, *parts: np.ndarray | int) -> np.ndarray:
-    """Uniforms in (0, 1) from the parts, broadcast against each other."""
+_PART = np.uint64(0x632BE59BD9B4E019)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The last part of ``hashed``, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def part(p: np.ndarray | int) -> np.ndarray:
+    """What a part of a hash is combined with: ``mixed(x ^ part(p))``."""
     with np.errstate(over="ignore"):
-        x = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+        return np.asarray(p).astype(np.uint64) + _PART
+
+
+def hashed(seed: int, *parts: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of the parts, broadcast against each other."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         for p in parts:
-            x = x ^ (np.asarray(p).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
+            x = mixed(np.atleast_1d(x ^ part(p)))
+    return x
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Hashes as numbers in (0, 1)."""
     return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
+def uniforms(seed: int, *parts: np.ndarray | int) -> np.ndarray:
+    """Uniforms in (0, 1) from the parts, broadcast against each other."""
+    x = unit(hashed(seed, *parts))
+    return x if any(np.ndim(p) for p in parts) else x.reshape(())
+
+
 def dirichlet(rng: np.random.Generator, weights: np.ndarray) -> np.ndarray:
     """Rows of Dirichlet draws by normalised gammas, floored at the smallest normal number; zero weights give zero."""
     g = rng.standard_gamma(np.maximum(weights, 0))

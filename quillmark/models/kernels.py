@@ -7,9 +7,12 @@ own changes so far, as the approximate distributed sampler does.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
-from quillmark.models.draws import AliasCache, alias_draw, uniforms
+from quillmark.models.draws import AliasCache, alias_draw, hashed, mixed, part, uniforms, unit
 
 
 class Batch:
@@ -194,3 +197,145 @@ def left_to_right(types: np.ndarray, phi: np.ndarray, alpha: np.ndarray, doc_id:
         z = _pick(p + 1e-300, uniforms(seed, doc_id, t, np.arange(particles)))
         n[np.arange(particles), z] += 1
     return total
+
+
+class Steps:
+    """The tokens of a batch in the order of the sweep: token t of all documents that have one stand together, longest documents first.
+
+    Nothing is padded, and ``counts`` is topics by documents, so each step works on rows as long as the documents it
+    visits. The sweeps over it draw what those over ``Batch`` draw. ``types`` and ``z``: Arrow lists.
+    """
+
+    def __init__(self, ids: np.ndarray, types: pa.Array, z: pa.Array | None, k: int, seed: int = 0) -> None:
+        self.size = types.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.order = np.argsort(-self.size, kind="stable")
+        self.ids, self.k, n = ids[self.order], k, len(ids)
+        length = self.size[self.order]
+        self.start = np.append(0, np.cumsum(np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")))
+        rank = np.empty(n, np.int64)
+        rank[self.order] = np.arange(n)
+        t = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.place = self.start[t] + np.repeat(rank, self.size)
+        self.types, self.who, self.z, at = (np.empty(len(t), np.int64) for _ in range(4))
+        self.types[self.place], self.who[self.place], at[self.place] = types.flatten().to_numpy(zero_copy_only=False), np.repeat(rank, self.size), t
+        self.at = part(at)
+        if z is not None:
+            self.z[self.place] = z.flatten().to_numpy(zero_copy_only=False)
+        else:  # L20: uniform topics
+            for a, b, u in self._uniforms(seed, 0):
+                self.z[a:b] = np.minimum((u * k).astype(np.int64), k - 1)
+        self.counts = np.bincount(self.z * n + self.who, minlength=k * n).reshape(k, n).astype(float)
+
+    def _uniforms(self, seed: int, iteration: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The uniforms of whole steps, some ten thousand tokens at a time."""
+        x = hashed(seed, iteration, self.ids)
+        a = 0
+        while a < len(self.z):
+            s = int(np.searchsorted(self.start, a + 30_000))
+            b = int(self.start[min(s, len(self.start) - 1)])
+            yield a, b, unit(mixed(x[self.who[a:b]] ^ self.at[a:b]))
+            a = b
+
+    def steps(self, seed: int, iteration: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First token, number of documents and uniforms of each step."""
+        t = 0
+        for a, b, u in self._uniforms(seed, iteration):
+            while self.start[t] < b:
+                o, e = int(self.start[t]), int(self.start[t + 1])
+                yield o, e - o, u[o - a : e - a]
+                t += 1
+
+    def columns(self, phi: np.ndarray) -> list[np.ndarray]:
+        """phi of the tokens of each step, topics by documents, for many sweeps under one phi."""
+        return [np.ascontiguousarray(phi[self.types[a:b]].T) for a, b in zip(self.start[:-1], self.start[1:])]
+
+    def lists(self) -> pa.Array:
+        """Topic lists in the order that the documents came in."""
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.size)), pa.int32()), pa.array(self.z[self.place], pa.int32()))
+
+
+def _pick_column(c: np.ndarray, u: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """``_pick`` where the columns of ``c`` are cumulative sums."""
+    if len(c) > 255:
+        return (c[:-1] <= u * c[-1]).sum(0)
+    np.less_equal(c[:-1], u * c[-1], out=below)
+    return np.add.reduce(below.view(np.uint8), 0, dtype=np.uint8).astype(np.int64)
+
+
+def step_sweep(b: Steps, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, columns: list[np.ndarray] | None = None) -> None:
+    """``sweep`` without priors of documents; ``columns``: ``b.columns(phi)``."""
+    k, n_docs = b.counts.shape
+    flat, a, every = b.counts.reshape(-1), alpha[:, None], np.arange(n_docs)
+    room, below = np.empty((k, n_docs)), np.empty((k - 1, n_docs), bool)
+    for t, (o, n, u) in enumerate(b.steps(seed, iteration)):
+        doc = every[:n]
+        flat[b.z[o : o + n] * n_docs + doc] -= 1
+        c = room[:, :n]
+        np.add(b.counts[:, :n], a, out=c)
+        c *= phi[b.types[o : o + n]].T if columns is None else columns[t]
+        np.add.accumulate(c, 0, out=c)
+        if c[-1].min() <= 0:  # phi may be zero for a type in every topic
+            dead = c[-1] <= 0
+            c[:, dead] = np.cumsum(b.counts[:, :n][:, dead] + a, 0)
+        z = _pick_column(c, u, below[:, :n])
+        b.z[o : o + n] = z
+        flat[z * n_docs + doc] += 1
+
+
+def step_sparse_sweep(b: Steps, phi: np.ndarray, alpha: np.ndarray, seed: int, iteration: int, tables: AliasCache) -> None:
+    """``sparse_sweep`` without priors of documents: the alias tables are asked for the tokens only that are drawn from the prior part."""
+    k, n_docs = b.counts.shape
+    if not len(b.z):
+        return
+    tables.at(np.flatnonzero(np.bincount(b.types)))
+    mass, cut, alias, place = tables.mass, tables.cut.reshape(-1), tables.alias.reshape(-1), tables.place
+    flat, every = b.counts.reshape(-1), np.arange(n_docs)
+    room, below = np.empty((k, n_docs)), np.empty((k - 1, n_docs), bool)
+    for o, n, u in b.steps(seed, iteration):
+        doc, types = every[:n], b.types[o : o + n]
+        w = place[types]
+        flat[b.z[o : o + n] * n_docs + doc] -= 1
+        c = room[:, :n]
+        np.multiply(b.counts[:, :n], phi[types].T, out=c)
+        np.add.accumulate(c, 0, out=c)
+        own, prior = c[-1], mass[w]
+        total = own + prior
+        x = u * total
+        i = np.flatnonzero((x < prior) | (own <= 0))
+        x -= prior
+        x /= np.maximum(own, 1e-300)
+        z = _pick_column(c, np.clip(x, 0, 1 - 1e-12, out=x), below[:, :n])
+        if len(i):
+            m, v = prior[i], u[i]
+            v = np.clip(np.where(m > 0, v * total[i] / np.where(m > 0, m, 1), v), 0, 1 - 1e-12) * k
+            j = np.minimum(v.astype(np.int64), k - 1)
+            at = w[i] * k + j
+            z[i] = np.where(v - j < cut[at], j, alias[at])
+        b.z[o : o + n] = z
+        flat[z * n_docs + doc] += 1
+
+
+def step_collapsed_sweep(b: Steps, word_topic: np.ndarray, totals: np.ndarray, alpha: np.ndarray, beta: float, seed: int, iteration: int) -> None:
+    """``collapsed_sweep`` without priors of documents. ``word_topic``: contiguous."""
+    k, n_docs = b.counts.shape
+    flat, cells, a, every = b.counts.reshape(-1), word_topic.reshape(-1), alpha[:, None], np.arange(n_docs)
+    room, below, rest = np.empty((k, n_docs)), np.empty((k - 1, n_docs), bool), len(word_topic) * beta
+    for o, n, u in b.steps(seed, iteration):
+        doc, w, z = every[:n], b.types[o : o + n], b.z[o : o + n]
+        base = w * k
+        flat[z * n_docs + doc] -= 1
+        np.add.at(cells, base + z, -1.0)
+        totals -= np.bincount(z, minlength=k)
+        c = room[:, :n]
+        np.add(b.counts[:, :n], a, out=c)
+        words = word_topic[w]
+        np.maximum(words, 0, out=words)
+        words += beta
+        c *= words.T
+        c /= (np.maximum(totals, 0) + rest)[:, None]
+        np.add.accumulate(c, 0, out=c)
+        z = _pick_column(c, u, below[:, :n])
+        b.z[o : o + n] = z
+        flat[z * n_docs + doc] += 1
+        np.add.at(cells, base + z, 1.0)
+        totals += np.bincount(z, minlength=k)

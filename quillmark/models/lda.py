@@ -24,6 +24,8 @@ from quillmark.operators.storage import Stored, exists, store
 from quillmark.operators.topics import log_likelihood
 
 MOST_CELLS = 200_000_000
+#: Most cells that a task counts in one array.
+MOST_COUNTED = 2_000_000
 # The names of the schemes, as configuration files write them; kernel and draw are ours.
 SCHEMES = {
     "uncollapsed": ("dense", "dirichlet"), "efficient_uncollapsed": ("ends", "dirichlet"), "spalias": ("sparse", "dirichlet"), "polyaurn": ("sparse", "polya_urn"),
@@ -75,12 +77,66 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _out(b: pa.RecordBatch, batch: kernels.Batch) -> pa.RecordBatch:
+def _out(b: pa.RecordBatch, batch: kernels.Batch | kernels.Steps) -> pa.RecordBatch:
     z = batch.lists()
-    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.list_(pa.int32()))], names=["doc_id", "types", "z"])
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), z if isinstance(z, pa.Array) else pa.array(z, pa.list_(pa.int32()))], names=["doc_id", "types", "z"])
+
+
+def _numbers(largest: int) -> np.dtype:
+    return np.dtype(np.uint8 if largest <= 1 << 8 else np.uint16 if largest <= 1 << 16 else np.int32)
+
+
+def _packed(lists: pa.Array, kind: np.dtype) -> pa.Array:
+    """Lists of numbers as one binary value each: it passes the JVM without a step for each token."""
+    given = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = given.astype(kind)
+    if (flat != given).any():
+        raise ValueError("a type or topic is out of range")
+    ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))) * kind.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> pa.Array:
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // kind.itemsize, pa.int32()), pa.array(flat))
+
+
+class State:
+    """The written state: ``packed`` (doc_id, types, z as binary) reads the file, ``df`` has the arrays."""
+
+    def __init__(self, stored: Stored, kinds: tuple[np.dtype, np.dtype]) -> None:
+        self.stored, self.packed = stored, stored.df
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(_unpacked(b.column(i + 1), x) for i, x in enumerate(kinds))], names=["doc_id", "types", "z"])
+
+        self.df = self.packed.mapInArrow(run, SCHEMA)
+
+    @classmethod
+    def of(cls, arrays: DataFrame, kinds: tuple[np.dtype, np.dtype]) -> State:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pack(b, kinds)
+
+        return cls(store(arrays.select("doc_id", "types", "z").mapInArrow(run, PACKED), "state"), kinds)
+
+    def drop(self) -> None:
+        self.stored.drop()
+
+
+def pack(b: pa.RecordBatch, kinds: tuple[np.dtype, np.dtype]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0), *(_packed(b.column(i + 1), x) for i, x in enumerate(kinds))], names=["doc_id", "types", "z"])
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
 SCHEMA = "doc_id long, types array<int>, z array<int>"
+PACKED = "doc_id long, types binary, z binary"
 
 
 class TopicModel:
@@ -112,34 +168,57 @@ class TopicModel:
         else:
             corpus = corpus.withColumn("allowed", F.lit(None).cast("array<int>"))
         self.with_priors = doc_priors is not None
-        k, seed = settings.topics, settings.seed
+        k, seed, kinds = settings.topics, settings.seed, self.kinds()
         first = np.where(np.arange(k) < settings.start_topics, 1.0, 0.0) if 0 < settings.start_topics < k else None
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
+                if b.num_rows and len(b.column(1).flatten()) and b.column(1).flatten().to_numpy(zero_copy_only=False).max() >= n_types:
+                    raise ValueError("a type is outside the vocabulary")
+                if b.num_rows and first is None and b.column(2).null_count == b.num_rows:
+                    yield pack(_out(b, kernels.Steps(b.column(0).to_numpy(), b.column(1), None, k, seed)), kinds)
+                elif b.num_rows:
                     x = kernels.Batch(b.column(0).to_numpy(), _lists(b.column(1)), None, k)
                     mask = _allowed(b.column(2), x, k)
                     if first is not None and mask is None:
                         mask = np.broadcast_to(first, (len(x.ids), k))
                     kernels.initialise(x, seed, mask)
-                    yield _out(b, x)
+                    yield pack(_out(b, x), kinds)
 
         self.doc_priors = store(corpus.where("allowed IS NOT NULL").select("doc_id", "allowed"), "doc-priors") if self.with_priors else None
-        self.state: Stored = store(corpus.select("doc_id", "types", "allowed").mapInArrow(start, SCHEMA), "state")
+        self.state = State(store(corpus.select("doc_id", "types", "allowed").mapInArrow(start, PACKED), "state"), kinds)
         self._draw_phi()
 
+    def kinds(self) -> tuple[np.dtype, np.dtype]:
+        """The numbers that types and topics are written as."""
+        return _numbers(self.n_types), _numbers(self.s.topics)
+
     # counts -------------------------------------------------------------------------------------
     def assign(self) -> DataFrame:
         """doc_id, pos, type_id, topic."""
         return self.state.df.select("doc_id", F.posexplode(F.arrays_zip("types", "z")).alias("pos", "x")).select("doc_id", "pos", F.col("x.types").alias("type_id"), F.col("x.z").alias("topic"))
 
     def counts(self) -> np.ndarray:
-        """K x V counts of the current state."""
-        rows = self.assign().groupBy("topic", "type_id").count().toPandas()
-        n = np.zeros((self.s.topics, self.n_types))
-        n[rows["topic"].to_numpy(int), rows["type_id"].to_numpy(int)] = rows["count"]
-        return n
+        """K x V counts of the current state, counted inside the batches first."""
+        v, cells, kinds = self.n_types, self.s.topics * self.n_types, self.kinds()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = lambda cell, n: pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+            whole = np.zeros(cells, np.int64) if cells <= MOST_COUNTED else None
+            for b in batches:
+                types, z = (_unpacked(b.column(i), x).values.to_numpy() for i, x in enumerate(kinds))
+                cell = z.astype(np.int64) * v + types
+                if whole is None:
+                    yield out(*np.unique(cell, return_counts=True))
+                else:
+                    whole += np.bincount(cell, minlength=cells)
+            if whole is not None:
+                yield out(np.flatnonzero(whole), whole[whole > 0])
+
+        rows = self.state.packed.select("types", "z").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        n = np.zeros(cells)
+        n[rows["cell"].to_numpy(int)] = rows["n"]
+        return n.reshape(self.s.topics, v)
 
     def _draw_phi(self) -> None:
         before, self.n = self.n, self.counts()
@@ -172,7 +251,7 @@ class TopicModel:
 
     # sweeps -------------------------------------------------------------------------------------
     def _sweep(self) -> None:
-        spark, k, seed, it, kernel, beta = self.spark, self.s.topics, self.s.seed, self.iteration, self.kernel, self.beta
+        spark, k, seed, it, kernel, beta, kinds = self.spark, self.s.topics, self.s.seed, self.iteration, self.kernel, self.beta, self.kinds()
         alpha = self.alpha if self.psi is None else self.alpha.sum() * self.psi
         shared = spark.sparkContext.broadcast((np.ascontiguousarray(self.phi.T), self.n.T.copy() if kernel in ("collapsed", "serial", "light_counts", "light_types") else None))
 
@@ -186,6 +265,17 @@ class TopicModel:
             for b in batches:
                 if not b.num_rows:
                     continue
+                b = pa.RecordBatch.from_arrays([b.column(0), *(_unpacked(b.column(i + 1), x) for i, x in enumerate(kinds)), b.column(3)], names=["doc_id", "types", "z", "allowed"])
+                if kernel in ("dense", "sparse", "hdp", "collapsed", "serial") and b.column(3).null_count == b.num_rows:
+                    x = kernels.Steps(b.column(0).to_numpy(), b.column(1), b.column(2), k)
+                    if kernel in ("collapsed", "serial"):
+                        kernels.step_collapsed_sweep(x, own, totals, alpha, beta, seed, it)
+                    elif kernel == "dense":
+                        kernels.step_sweep(x, phi, alpha, seed, it)
+                    else:
+                        kernels.step_sparse_sweep(x, phi, alpha, seed, it, tables)
+                    yield pack(_out(b, x), kinds)
+                    continue
                 x = kernels.Batch(b.column(0).to_numpy(), _lists(b.column(1)), _lists(b.column(2)), k)
                 allowed = _allowed(b.column(3), x, k)
                 if kernel in ("collapsed", "serial"):
@@ -200,9 +290,9 @@ class TopicModel:
                     kernels.sweep(x, phi, alpha, seed, it, allowed, kernels._pick_near)
                 else:
                     kernels.sweep(x, phi, alpha, seed, it, allowed)
-                yield _out(b, x)
+                yield pack(_out(b, x), kinds)
 
-        src = self.state.df
+        src = self.state.packed
         src = src.join(self.doc_priors.df, "doc_id", "left") if self.with_priors else src.withColumn("allowed", F.lit(None).cast("array<int>"))
         src = src.select("doc_id", "types", "z", "allowed")
         visited = self.s.scan.documents(src.select("doc_id"), it) if self.s.scan else None
@@ -210,8 +300,8 @@ class TopicModel:
         if visited is not None:  # the other documents keep their topics
             seen = store(visited.select("doc_id"), "visited")
             src, rest, self.visited = src.join(seen.df, "doc_id", "left_semi"), src.join(seen.df, "doc_id", "left_anti").select("doc_id", "types", "z"), seen.df
-        swept = (src.coalesce(1) if kernel == "serial" else src).mapInArrow(run, SCHEMA)
-        new = store(swept if rest is None else swept.unionByName(rest), "state")
+        swept = (src.coalesce(1) if kernel == "serial" else src).mapInArrow(run, PACKED)
+        new = State(store(swept if rest is None else swept.unionByName(rest), "state"), kinds)
         self.state.drop()
         self.state = new
         shared.unpersist()
@@ -310,7 +400,7 @@ class TopicModel:
 
     def set_assignments(self, z: DataFrame) -> None:
         """Replace z (doc_id, z) and redraw phi; topic lists must be as long as the documents."""
-        new = store(self.state.df.select("doc_id", "types").join(z.select("doc_id", "z"), "doc_id").where(F.size("z") == F.size("types")), "state")
+        new = State.of(self.state.df.select("doc_id", "types").join(z.select("doc_id", "z"), "doc_id").where(F.size("z") == F.size("types")), self.kinds())
         if new.df.count() != self.state.df.count():
             new.drop()
             raise ValueError("topic lists don't fit the documents")
@@ -324,7 +414,7 @@ class TopicModel:
         to = np.empty_like(order)
         to[order] = np.arange(len(order))
         m = F.array(*[F.lit(int(x)) for x in to])
-        new = store(self.state.df.select("doc_id", "types", F.transform("z", lambda x: F.get(m, x)).alias("z")), "state")
+        new = State.of(self.state.df.select("doc_id", "types", F.transform("z", lambda x: F.get(m, x)).alias("z")), self.kinds())
         self.state.drop()
         self.state, self.n, self.phi, self.alpha = new, self.n[order], self.phi[order], self.alpha[order]
         if self._phi_sum is not None:
@@ -375,7 +465,7 @@ class TopicModel:
         m.priors = 1.0 - matrix("barred") if note["topic_priors"] else None
         m.with_priors = note["doc_priors"]
         m.doc_priors = store(spark.read.parquet(f"{folder}/doc_priors"), "doc-priors") if m.with_priors else None
-        m.state = store(spark.read.parquet(f"{folder}/state"), "state")
+        m.state = State.of(spark.read.parquet(f"{folder}/state"), m.kinds())
         m.n = m.counts()
         m.changed = np.ones(m.n_types, bool)
         return m

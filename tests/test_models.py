@@ -1,6 +1,7 @@
 """Samplers: invariants, seeds, recovery of planted topics; draws; saving; scan policies."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,61 @@ def test_collapsed_proposals_leave_the_token_out_and_share_moves():  # L9
     assert (own.argmax(1) == now).all()
     assert (totals == np.bincount(now, minlength=2)).all()
     assert np.mean(now != np.arange(n) % 2) > 0.2  # a word seen once isn't held by its own count
+
+
+def _ragged(k, docs=300, types=400, seed=2):
+    """Documents of very different length, one of them empty, and a phi with zeros and a type of no topic."""
+    rng = np.random.default_rng(seed)
+    lists = [rng.integers(0, types, n).astype(np.int32) for n in np.minimum(rng.lognormal(3, 1, docs).astype(int), 500)]
+    lists[7] = lists[7][:0]
+    phi = np.where(rng.random((types, k)) < 0.3, 0.0, rng.random((types, k)))
+    phi[5] = 0
+    return np.arange(docs) * 7 + 3, lists, pa.array(lists, pa.list_(pa.int32())), phi, rng.uniform(0.05, 1, k)
+
+
+@pytest.mark.parametrize("k", [1, 7, 300])
+def test_step_sweeps_draw_what_the_padded_sweeps_draw(k):  # L1, L3, L4, L7, L8, L20
+    ids, lists, types, phi, alpha = _ragged(k)
+    old, new = kernels.Batch(ids, lists, None, k), kernels.Steps(ids, types, None, k, 9)
+    kernels.initialise(old, 9)
+    same = lambda: [x.tolist() for x in old.lists()] == new.lists().to_pylist() and (old.counts.T == new.counts).all()
+    assert same()
+    kernels.sweep(old, phi, alpha, 9, 1)
+    kernels.step_sweep(new, phi, alpha, 9, 1)
+    assert same()
+    kernels.sweep(old, phi, alpha, 9, 2)
+    kernels.step_sweep(new, phi, alpha, 9, 2, new.columns(phi))
+    assert same()
+    tables = lambda: draws.AliasCache(lambda rows: phi[rows] * alpha, len(phi))
+    kernels.sparse_sweep(old, phi, alpha, 9, 3, None, tables())
+    kernels.step_sparse_sweep(new, phi, alpha, 9, 3, tables())
+    assert same()
+    n = np.zeros((len(phi), k))
+    np.add.at(n, (np.concatenate(lists), np.concatenate(old.lists())), 1)
+    n2, totals, totals2 = n.copy(), n.sum(0), n.sum(0)
+    kernels.collapsed_sweep(old, n, totals, alpha, 0.01, 9, 4)
+    kernels.step_collapsed_sweep(new, n2, totals2, alpha, 0.01, 9, 4)
+    assert same() and (n == n2).all() and (totals == totals2).all()
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_counts_of_a_state(planted, monkeypatch, most):  # L27
+    monkeypatch.setattr(lda, "MOST_COUNTED", most)
+    m = lda.TopicModel(planted, V, settings(iterations=0))
+    want = np.zeros((K, V))
+    for r in m.assign().collect():
+        want[r.topic, r.type_id] += 1
+    assert (m.counts() == want).all()
+    assert want.sum() > 0
+
+
+def test_the_state_is_written_as_one_value_for_each_document(spark, planted):
+    m = lda.TopicModel(planted, V, settings(scheme="collapsed", iterations=2)).sample()
+    assert dict(m.state.packed.dtypes) == {"doc_id": "bigint", "types": "binary", "z": "binary"}
+    assert {r.doc_id: r.types for r in m.state.df.collect()} == {r.doc_id: r.types for r in planted.collect()}
+    lists = pa.array([[1, 2, 70_000], [], None, [4]], pa.list_(pa.int32()))
+    for part, want in ((lists, [[1, 2, 70_000], [], [], [4]]), (lists.slice(1), [[], [], [4]]), (lists.slice(1, 2), [[], []])):
+        assert lda._unpacked(lda._packed(part, lda._numbers(100_000)), lda._numbers(100_000)).to_pylist() == want
+    assert lda._unpacked(lda._packed(lists, np.dtype(np.int32)).slice(3), np.dtype(np.int32)).to_pylist() == [[4]]
+    with pytest.raises(ValueError, match="out of range"):
+        lda._packed(lists, lda._numbers(256))
