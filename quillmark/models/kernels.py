@@ -339,3 +339,30 @@ def step_collapsed_sweep(b: Steps, word_topic: np.ndarray, totals: np.ndarray, a
         flat[z * n_docs + doc] += 1
         np.add.at(cells, base + z, 1.0)
         totals += np.bincount(z, minlength=k)
+
+
+def left_to_right_all(ids: np.ndarray, types: pa.Array, phi: np.ndarray, alpha: np.ndarray, seed: int, particles: int = 100, cells: int = 50_000) -> np.ndarray:
+    """``left_to_right`` of a batch of documents: the particles of some documents of like length, ``cells`` numbers, take each step together."""
+    k, a_sum, a = len(alpha), alpha.sum(), alpha[:, None]
+    order = np.argsort(-types.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), kind="stable")
+    group, each = max(1, cells // (k * particles)), part(np.arange(particles))
+    out = np.zeros(len(ids))
+    for g in range(0, len(ids), group):
+        at = order[g : g + group]
+        b = Steps(ids[at], types.take(pa.array(at)), None, k)
+        width = len(at) * particles
+        counts, room, below, every = np.zeros((k, width)), np.empty((k, width)), np.empty((k - 1, width), bool), np.arange(width)
+        flat, cube, x, total = counts.reshape(-1), room.reshape(k, len(at), particles), hashed(seed, b.ids), np.zeros(len(at))
+        for t, (o, e) in enumerate(zip(b.start[:-1], b.start[1:])):
+            n, m = e - o, (e - o) * particles
+            c = room[:, :m]
+            np.add(counts[:, :m], a, out=c)
+            cube[:, :n] *= (phi[b.types[o:e]] / (t + a_sum)).T[:, :, None]
+            np.add.accumulate(c, 0, out=c)
+            total[:n] += np.log(np.maximum(c[-1].reshape(n, particles).mean(1), 1e-300))
+            if c[-1].min() <= 0:  # a type that phi has in no topic tells nothing of its topic
+                c[:, c[-1] <= 0] = np.arange(1.0, k + 1)[:, None]
+            u = unit(mixed(mixed(x[:n] ^ part(t))[:, None] ^ each)).reshape(m)
+            flat[_pick_column(c, u, below[:, :m]) * width + every[:m]] += 1
+        out[at] = total
+    return out

@@ -522,8 +522,7 @@ def held_out(corpus: DataFrame, phi: np.ndarray, alpha: np.ndarray, particles: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ids = b.column(0).to_numpy()
-                v = [kernels.left_to_right(t, shared.value, alpha, int(i), seed, particles) for i, t in zip(ids, _lists(b.column(1)))]
+                v = kernels.left_to_right_all(b.column(0).to_numpy(), b.column(1), shared.value, alpha, seed, particles)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.float64())], names=["doc_id", "log_probability"])
 
     return corpus.select("doc_id", "types").mapInArrow(run, "doc_id long, log_probability double")

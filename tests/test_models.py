@@ -312,6 +312,15 @@ def test_step_sweeps_draw_what_the_padded_sweeps_draw(k):  # L1, L3, L4, L7, L8,
     assert same() and (n == n2).all() and (totals == totals2).all()
 
 
+@pytest.mark.parametrize("k", [1, 6])
+def test_left_to_right_of_a_batch(k):  # L32
+    ids, lists, types, phi, alpha = _ragged(k, 40)
+    got = kernels.left_to_right_all(ids, types, phi, alpha, 4, 20, 2000)
+    want = [kernels.left_to_right(x, phi, alpha, int(i), 4, 20) for i, x in zip(ids, lists)]
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert kernels.left_to_right_all(ids[:0], types[:0], phi, alpha, 4).shape == (0,)
+
+
 @pytest.mark.parametrize("most", [0, 2_000_000])
 def test_counts_of_a_state(planted, monkeypatch, most):  # L27
     monkeypatch.setattr(lda, "MOST_COUNTED", most)
