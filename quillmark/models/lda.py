@@ -26,6 +26,8 @@ from quillmark.operators.topics import log_likelihood
 MOST_CELLS = 200_000_000
 #: Most cells that a task counts in one array.
 MOST_COUNTED = 2_000_000
+#: Most numbers of phi that are laid out for the tokens of a batch (8 bytes each); beyond it each sweep looks them up.
+MOST_GATHERED = 20_000_000
 # The names of the schemes, as configuration files write them; kernel and draw are ours.
 SCHEMES = {
     "uncollapsed": ("dense", "dirichlet"), "efficient_uncollapsed": ("ends", "dirichlet"), "spalias": ("sparse", "dirichlet"), "polyaurn": ("sparse", "polya_urn"),
@@ -503,14 +505,14 @@ def infer(corpus: DataFrame, phi: np.ndarray, alpha: np.ndarray, sweeps: int = 1
         for b in batches:
             if not b.num_rows:
                 continue
-            x = kernels.Batch(b.column(0).to_numpy(), _lists(b.column(1)), None, k)
-            kernels.initialise(x, seed)
+            x = kernels.Steps(b.column(0).to_numpy(), b.column(1), None, k, seed)
+            columns = x.columns(shared.value) if len(x.z) * k <= MOST_GATHERED else None
             for i in range(sweeps):
-                kernels.sweep(x, shared.value, alpha, seed, i + 1)
+                kernels.step_sweep(x, shared.value, alpha, seed, i + 1, columns)
             theta = np.empty((b.num_rows, k))
-            theta[x.order] = (x.counts + alpha) / (x.counts.sum(1, keepdims=True) + alpha.sum())
+            theta[x.order] = ((x.counts + alpha[:, None]) / (x.counts.sum(0) + alpha.sum())).T
             z = _out(b, x)
-            yield pa.RecordBatch.from_arrays([*z.columns, pa.array(list(theta), pa.list_(pa.float64()))], names=["doc_id", "types", "z", "theta"])
+            yield pa.RecordBatch.from_arrays([*z.columns, _rows(theta)], names=["doc_id", "types", "z", "theta"])
 
     return corpus.select("doc_id", "types").mapInArrow(run, SCHEMA + ", theta array<double>")
 

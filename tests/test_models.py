@@ -342,3 +342,19 @@ def test_the_state_is_written_as_one_value_for_each_document(spark, planted):
     assert lda._unpacked(lda._packed(lists, np.dtype(np.int32)).slice(3), np.dtype(np.int32)).to_pylist() == [[4]]
     with pytest.raises(ValueError, match="out of range"):
         lda._packed(lists, lda._numbers(256))
+
+
+@pytest.mark.parametrize("most", [0, 20_000_000])
+def test_inference_draws_what_the_padded_sweeps_draw(planted, monkeypatch, most):  # L23
+    """Whether phi is laid out once for all sweeps or looked up in each."""
+    monkeypatch.setattr(lda, "MOST_GATHERED", most)
+    phi, alpha = np.random.default_rng(1).dirichlet(np.full(V, 0.3), K), np.array([0.1, 0.2, 0.3, 0.4])
+    got = {r.doc_id: r for r in lda.infer(planted, phi, alpha, 5, 2).collect()}
+    docs = planted.collect()
+    b = kernels.Batch(np.array([r.doc_id for r in docs]), [np.array(r.types, int) for r in docs], None, K)
+    kernels.initialise(b, 2)
+    for i in range(5):
+        kernels.sweep(b, phi.T, alpha, 2, i + 1)
+    for r, z in zip(docs, b.lists()):
+        assert got[r.doc_id].z == z.tolist()
+        assert got[r.doc_id].theta == pytest.approx((np.bincount(z, minlength=K) + alpha) / (len(z) + 1.0))
