@@ -245,47 +245,53 @@ def gamma_moments(s: SparkSession, d: str) -> DataFrame:
 
 
 # search, classes, streams -------------------------------------------------------------------------
-def _lda_parts(s: SparkSession, d: str, tokens: DataFrame | None = None) -> tuple:
-    """Query words of ``documents`` with an id divisible by 50, and the state (5 doc_id + 11 pos) mod 10 as phi and theta."""
-    docs = TQ._docs(s, d)
-    tokens = TQ._tokens(s, d) if tokens is None else tokens
+def _lda_state(docs: DataFrame, tokens: DataFrame) -> tuple:
+    """Postings, lengths and the state (5 doc_id + 11 pos) mod 10 as phi and theta."""
     a = tokens.withColumn("topic", ((F.col("doc_id") * 5 + F.col("pos") * 11) % TOPICS).cast("int"))
     nk = a.groupBy("topic").agg(F.count(F.lit(1)).alias("nk"))
     phi = a.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")).join(nk, "topic").select("topic", "term", (F.col("n") / F.col("nk")).alias("p"))
     lengths = vocab.doc_lengths(docs, tokens)
     theta = a.groupBy("doc_id", "topic").agg(F.count(F.lit(1)).alias("n")).join(lengths, "doc_id").select("doc_id", "topic", (F.col("n") / F.col("n_tokens")).alias("theta"))
+    return vocab.postings(tokens), lengths, phi, theta
+
+
+def _lda_parts(s: SparkSession, d: str) -> tuple:
+    """Query words of ``documents`` with an id divisible by 500, and the state."""
+    tokens = TQ._tokens(s, d)
     q = tokens.where("doc_id % 500 = 0").select(F.col("doc_id").alias("q"), "term").distinct()
-    return q, vocab.postings(tokens), lengths, phi, theta, docs
+    return q, *_lda_state(TQ._docs(s, d), tokens)
 
 
 def lda_query_likelihood(s: SparkSession, d: str) -> DataFrame:
     """D19 (J7): ten best of each query by a stored state."""
-    q, post, lengths, phi, theta, _ = _lda_parts(s, d)
+    q, post, lengths, phi, theta = _lda_parts(s, d)
     r = search.lda_likelihood(q, post, lengths, phi, theta).select("q", "id", F.round("d", 6).alias("d"))
     return search.top_k(r, 10)
 
 
 def lda_length_prior(s: SparkSession, d: str) -> DataFrame:
     """D21."""
-    q, post, lengths, phi, theta, _ = _lda_parts(s, d)
+    q, post, lengths, phi, theta = _lda_parts(s, d)
     r = search.lda_likelihood(q, post, lengths, phi, theta, length_prior=True, query_lengths=lengths.withColumnRenamed("doc_id", "q")).select("q", "id", F.round("d", 6).alias("d"))
     return search.top_k(r, 10)
 
 
 def lda_backoff(s: SparkSession, d: str) -> DataFrame:
-    """Absent words take the mean co-occurrence score with the document's words."""
-    lists = materialize(TQ._docs(s, d).select("doc_id", T.tokens("text").alias("t")), "tokens")
+    """Absent words take the mean co-occurrence score with the document's words; every document that has words is a query."""
+    docs = TQ._docs(s, d)
+    lists = materialize(docs.select("doc_id", T.tokens("text").alias("t")), "tokens")
     tokens = vocab.explode_tokens(lists, text="t", tokenizer=F.col)
-    q, post, lengths, phi, theta, _ = _lda_parts(s, d, tokens)
-    counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("tf")).join(q.select("term").distinct(), "term", "left_semi")
-    scores = vocab.adjacent_scores(lists, counts, "t", F.col)
-    r = search.lda_likelihood(q, post, lengths, phi, theta, backoff=scores, best=10, doc_words=vocab.doc_words(lists)).select("q", "id", F.round("d", 6).alias("d"))
+    post, lengths, phi, theta = _lda_state(docs, tokens)
+    words = materialize(vocab.doc_words(lists), "words")
+    scores = vocab.adjacent_scores(lists, tokens.groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "t", F.col)
+    q = words.where(F.size("terms") > 0).select(F.col("doc_id").alias("q"), "terms")
+    r = search.lda_likelihood(q, post, lengths, phi, theta, backoff=scores, best=10, doc_words=words).select("q", "id", F.round("d", 6).alias("d"))
     return search.top_k(r, 10)
 
 
 def lda_long_query(s: SparkSession, d: str) -> DataFrame:
     """Query likelihood of a long query plus KL of the query's topics and the document's."""
-    q, post, lengths, _, theta, _ = _lda_parts(s, d)
+    q, post, lengths, _, theta = _lda_parts(s, d)
     r = search.long_query(q, post, lengths, theta, theta.where("doc_id % 500 = 0").withColumnRenamed("doc_id", "q"), TOPICS).select("q", "id", F.round("d", 6).alias("d"))
     return search.top_k(r, 10)
 
@@ -376,7 +382,7 @@ SQL = {f"bound_{x}": _TOP for x in lda.SCHEMES} | {
     "gamma_moments": "SELECT unnest(['gamma 0.1', 'gamma 1.0', 'gamma 30.0', 'beta', 'poisson 0.01', 'poisson 3.0', 'poisson 500.0', 'uniform']) AS what, TRUE AS holds",
     "lda_query_likelihood": _EACH.replace("PD", "pd") + _BEST.format("r"),
     "lda_length_prior": _EACH.replace("PD", "pd") + f", z AS (SELECT r.q, r.id, r.d - CASE WHEN a.len = b.len THEN 0 ELSE {_T150.format('ln(abs(a.len - b.len))')} END AS d FROM r JOIN le a ON a.doc_id = r.q JOIN le b ON b.doc_id = r.id)" + _BEST.format("z"),
-    "lda_backoff": _STATE + _CO + _EACH[len(_STATE) :].replace("LEFT JOIN post USING (term, doc_id)", "LEFT JOIN post USING (term, doc_id) LEFT JOIN ne USING (term, doc_id) LEFT JOIN ty USING (doc_id)").replace("coalesce(tf, 0) / len ELSE 0 END", "CASE WHEN tf IS NULL THEN coalesce(co / types, 0) ELSE tf / len END ELSE 0 END").replace("PD", "pd") + _BEST.format("r"),
+    "lda_backoff": _STATE.replace(" WHERE doc_id % 500 = 0", "") + _CO + _EACH[len(_STATE) :].replace("LEFT JOIN post USING (term, doc_id)", "LEFT JOIN post USING (term, doc_id) LEFT JOIN ne USING (term, doc_id) LEFT JOIN ty USING (doc_id)").replace("coalesce(tf, 0) / len ELSE 0 END", "CASE WHEN tf IS NULL THEN coalesce(co / types, 0) ELSE tf / len END ELSE 0 END").replace("PD", "pd") + _BEST.format("r"),
     "lda_long_query": _STATE + """, vv AS (SELECT count(*) AS v FROM cf), ql AS (SELECT q, le.doc_id AS id, -sum(ln(len / (len + v) * coalesce(tf, 0) / greatest(len, 1) + (1 - len / (len + v)) * pc)) AS d FROM q JOIN cf USING (term) CROSS JOIN le CROSS JOIN vv LEFT JOIN post ON post.term = q.term AND post.doc_id = le.doc_id GROUP BY 1, 2),
 sm AS (SELECT le.doc_id, k AS topic, (coalesce(t, 0) + 0.000001::DOUBLE) / (1 + 10 * 0.000001::DOUBLE) AS t FROM le CROSS JOIN (SELECT unnest(range(10))::INT AS k) LEFT JOIN th ON th.doc_id = le.doc_id AND th.topic = k WHERE len > 0),
 kl AS (SELECT a.doc_id AS q, b.doc_id AS id, sum(a.t * ln(a.t / b.t)) / ln(2) AS kl FROM sm a JOIN sm b USING (topic) WHERE a.doc_id % 500 = 0 GROUP BY 1, 2), z AS (SELECT q, id, d + kl AS d FROM ql JOIN kl USING (q, id))""" + _BEST.format("z"),

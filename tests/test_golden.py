@@ -289,6 +289,40 @@ def test_backoff_makes_no_row_for_a_word_that_a_document_lacks(spark, monkeypatc
     assert [r.id for r in sorted(first, key=lambda r: r["rank"])] == sorted(got, key=lambda i: (got[i], i))[:2]
 
 
+def test_backoff_asks_with_every_document(spark, small):  # D20
+    from quillmark.queries import checks
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    asked = {r.doc_id for r in docs.where(F.size(T.tokens("text")) > 0).collect()}
+    got = checks.lda_backoff(spark, small).groupBy("q").agg(F.count("*").alias("n")).collect()
+    assert len(asked) > 90
+    assert {r.q: r.n for r in got} == dict.fromkeys(asked, 10)
+
+
+def test_best_likelihood_leaves_out_only_what_cannot_be_among_the_best(spark, monkeypatch):  # D20
+    """The same best rows as of all scores, with frequent words, bounds, first documents and passes of small sizes; equal documents tie."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = {i: np.minimum(rng.zipf(1.4, 3 + i % 23), 80).tolist() for i in range(120)}
+    words |= {120 + i: words[i] for i in range(0, 12)}
+    posts = spark.createDataFrame([(f"w{w}", i, ws.count(w)) for i, ws in words.items() for w in set(ws)], "term string, doc_id long, tf long")
+    lengths = spark.createDataFrame([(i, len(ws)) for i, ws in words.items()], "doc_id long, n_tokens long")
+    phi = spark.createDataFrame([(k, f"w{w}", float(p)) for k, ps in enumerate(rng.dirichlet(np.full(80, 0.3), 3)) for w, p in enumerate(ps, 1)], "topic int, term string, p double")
+    theta = spark.createDataFrame([(i, k, float(p)) for i in range(120) for k, p in enumerate(rng.dirichlet(np.ones(3)))] + [(120 + i, k, 1 / 3) for i in range(12) for k in range(3)], "doc_id long, topic int, theta double")
+    scores = spark.createDataFrame([(f"w{a}", f"w{b}", float(rng.random()) / b) for a in range(1, 81) for b in range(1, 81) if rng.random() < 0.2], "w1 string, w2 string, score double")
+    q = posts.select(F.col("doc_id").alias("q"), "term")
+    want = search.lda_likelihood(q, posts, lengths, phi, theta, backoff=scores).select("q", "id", F.round("d", 6).alias("d"))
+    for name, n in {"HOT": 5, "GROUP": 4, "FIRST": 15, "BLOCK": 50, "MOST_WORDS": 700}.items():
+        monkeypatch.setattr(search, name, n)
+    lists = q.groupBy("q").agg(F.collect_list("term").alias("terms"))
+    for ask in (q, lists):
+        kept = search.lda_likelihood(ask, posts, lengths, phi, theta, backoff=scores, best=3).select("q", "id", F.round("d", 6).alias("d"))
+        assert kept.count() < 0.5 * want.count()
+        assert sorted(map(tuple, search.top_k(kept, 3).collect())) == sorted(map(tuple, search.top_k(want, 3).collect()))
+    assert search.lda_likelihood(lists.where("false"), posts, lengths, phi, theta, backoff=scores, best=3).count() == 0
+
+
 def test_adjacent_scores_are_the_normalised_cooccurrence(spark, jokes):  # V14
     stats = vocab.term_stats(vocab.explode_tokens(jokes))
     want = vocab.normalised_cooccurrence(vocab.adjacent_pairs(jokes), stats).collect()
